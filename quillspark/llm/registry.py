@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_language_id import op1_language_id
+from .op2_sentencepiece import op2_sentencepiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_sentencepiece": op2_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
