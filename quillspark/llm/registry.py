@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_language_id import op1_language_id
 from .op2_sentencepiece import op2_sentencepiece
+from .op8_simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
