@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_language_id import op1_language_id
 from .op2_sentencepiece import op2_sentencepiece
+from .op4_secrets import ORACLE as OP4_ORACLE
+from .op4_secrets import op4_secrets
 from .op8_simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_secrets": op4_secrets,
     "op8_simhash": op8_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_secrets": OP4_ORACLE,
+}
