@@ -180,7 +180,7 @@ hits AS (
       WHEN 1 THEN regexp_split_to_array(t, 'AKIA[A-Z0-9]+') WHEN 2 THEN regexp_split_to_array(t, '[0-9a-f]{32,}') ELSE regexp_split_to_array(t, '[A-Za-z0-9+/_-]{20,}') END AS gs
   FROM docs CROSS JOIN (SELECT DISTINCT kind FROM pats)
 ),
-each AS (SELECT rid, kind, unnest(generate_subscripts(ms, 1)) AS i, ms, gs FROM hits WHERE len(ms) > 0),
+each AS (SELECT rid, kind, unnest(range(1, len(ms) + 1)) AS i, ms, gs FROM hits WHERE len(ms) > 0),
 placed AS (
   SELECT rid, kind, ms[i] AS m, sum(length(gs[i]) + length(ms[i])) OVER (PARTITION BY rid, kind ORDER BY i) - length(ms[i]) AS s FROM each
 ),
@@ -198,11 +198,11 @@ cand AS (
       OR NOT regexp_full_match(m, '[0-9a-fA-F]+') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]'))
 ),
 windows AS (
-  SELECT rid, s, kind, CASE kind WHEN 3 THEN 24 ELSE 20 END AS w, m, unnest(range(0, CAST(length(m) - CASE kind WHEN 3 THEN 24 ELSE 20 END + 1 AS BIGINT))) AS at FROM cand
+  SELECT rid, s, kind, CASE kind WHEN 3 THEN 24 ELSE 20 END AS w, m, unnest(range(0, CAST(length(m) - CASE kind WHEN 3 THEN 24 ELSE 20 END + 1 AS BIGINT))) AS off FROM cand
 ),
 hot AS (
-  SELECT rid, s, kind, s + min(at) AS hs, s + max(at + w) AS he FROM windows
-  WHERE list_aggregate(string_split(substr(m, CAST(at + 1 AS BIGINT), CAST(w AS BIGINT)), ''), 'entropy') >= CASE kind WHEN 3 THEN 3.05 ELSE 3.85 END GROUP BY rid, s, kind
+  SELECT rid, s, kind, s + min(off) AS hs, s + max(off + w) AS he FROM windows
+  WHERE list_aggregate(string_split(substr(m, CAST(off + 1 AS BIGINT), CAST(w AS BIGINT)), ''), 'entropy') >= CASE kind WHEN 3 THEN 3.05 ELSE 3.85 END GROUP BY rid, s, kind
 ),
 every AS (
   SELECT rid, kind, s, e FROM base
