@@ -87,24 +87,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: The bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_spans(raw: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (absolute) of the words `[^\\x20\\x09-\\x0D]+` in raw[start:end]; rows must be cut apart by the caller."""
-    inside = ~_SPACE[raw[start:end]]
-    edge = np.diff(np.concatenate(([False], inside, [False])).view(np.int8))
-    return np.flatnonzero(edge == 1) + start, np.flatnonzero(edge == -1) + start
-
-
-def row_words(raw: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row (from a) of each word of the rows a to b. A word never crosses rows."""
+def row_words(raw: np.ndarray, offsets: np.ndarray, a: int, b: int, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of each word of the rows a to b: runs of bytes that are no gap, never across rows."""
     lo, hi = int(offsets[a]), int(offsets[b])
-    inside = ~_SPACE[raw[lo:hi]]
+    inside = ~gap[raw[lo:hi]]
     before = np.concatenate(([False], inside[:-1])) if hi > lo else np.empty(0, bool)
     firsts = (offsets[a:b] - lo)[offsets[a:b] < offsets[a + 1 : b + 1]]
     before[firsts] = False
@@ -116,16 +110,16 @@ def row_words(raw: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.
     return starts + lo, ends + lo, rows
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray = SPACE) -> np.ndarray:
     """A 64-bit hash of each word's bytes and length (multilinear, then mixed); equal words have equal hashes anywhere."""
     if not len(starts):
         return np.empty(0, np.uint64)
     lo, hi = int(starts[0]), int(ends[-1])
     lens = ends - starts
-    place = np.arange(hi - lo, dtype=np.int64) - np.repeat(np.concatenate((starts - lo,)), np.diff(np.concatenate((starts - lo, [hi - lo]))))
+    place = np.arange(hi - lo, dtype=np.int64) - np.repeat(starts - lo, np.diff(np.concatenate((starts - lo, [hi - lo]))))
     value = _BYTE[raw[lo:hi]]
     value *= _PLACE[np.minimum(place, 4095)] if lens.max() <= 4096 else _PLACE[place & 4095] + mix64((place >> 12).astype(np.uint64))
-    value[_SPACE[raw[lo:hi]]] = 0
+    value[gap[raw[lo:hi]]] = 0
     total = np.add.reduceat(value, starts - lo)
     return mix64(total ^ (lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 

@@ -10,12 +10,14 @@ from .op1_language_id import op1_language_id
 from .op2_sentencepiece import op2_sentencepiece
 from .op4_secrets import ORACLE as OP4_ORACLE
 from .op4_secrets import op4_secrets
+from .op6_decontaminate import op6_decontaminate
 from .op8_simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_secrets": op4_secrets,
+    "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
 }
 
