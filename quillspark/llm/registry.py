@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_language_id import op1_language_id
+from .op10_substrings import ORACLE as OP10_ORACLE
+from .op10_substrings import op10_substrings
 from .op2_sentencepiece import op2_sentencepiece
 from .op4_secrets import ORACLE as OP4_ORACLE
 from .op4_secrets import op4_secrets
@@ -19,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLES: dict[str, str] = {
     "op4_secrets": OP4_ORACLE,
+    "op10_substrings": OP10_ORACLE,
 }
