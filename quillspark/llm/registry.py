@@ -10,6 +10,7 @@ from .op1_language_id import op1_language_id
 from .op10_substrings import ORACLE as OP10_ORACLE
 from .op10_substrings import op10_substrings
 from .op2_sentencepiece import op2_sentencepiece
+from .op3_sharding import op3_sharding
 from .op4_secrets import ORACLE as OP4_ORACLE
 from .op4_secrets import op4_secrets
 from .op6_decontaminate import op6_decontaminate
@@ -18,6 +19,7 @@ from .op8_simhash import op8_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
