@@ -15,6 +15,7 @@ from .op4_secrets import ORACLE as OP4_ORACLE
 from .op4_secrets import op4_secrets
 from .op6_decontaminate import op6_decontaminate
 from .op8_simhash import op8_simhash
+from .op9_html import op9_html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
+    "op9_html": op9_html,
     "op10_substrings": op10_substrings,
 }
 
