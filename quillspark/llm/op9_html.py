@@ -264,11 +264,12 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, set[str]]]:
             return f"<{tag}>{text}</{tag}>"
 
         def body(own=own) -> str:
+            longest = pick(6, 30, 90)
             made = [own(pick("h1", "h1", "h2"), words(int(rng.integers(2, 12))))] if chance(0.8) else []
-            for _ in range(int(rng.integers(1, 9))):
+            for _ in range(int(rng.integers(1, pick(4, 9, 25)))):
                 kind = rng.random()
                 if kind < 0.7:
-                    made.append(own("p", prose(1, 90)))
+                    made.append(own("p", prose(1, longest)))
                 elif kind < 0.78:
                     made.append(own(pick("h2", "h3"), words(int(rng.integers(1, 7)))))
                 elif kind < 0.84:
@@ -292,7 +293,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, set[str]]]:
     return out
 
 
-def fit(pages: list[tuple[str, set[str]]], rounds: int = 120, rate: float = 0.1, ridge: float = 2e-4) -> Weights:
+def fit(pages: list[tuple[str, set[str]]], rounds: int = 250, rate: float = 0.06, ridge: float = 2e-4) -> Weights:
     """Weights of the greatest likelihood of the labelled pages. An element is content if most of its text is."""
     trees = [parse(p) for p, _ in pages]
     names: dict[str, int] = {}
