@@ -79,6 +79,7 @@ def _pairs(sym: np.ndarray) -> np.ndarray:
 class Repetition:
     turns: np.ndarray  # a multiplier for each step up to the last sampled one
     steps: np.ndarray  # the sampled steps
+    shift: np.uint64 = _U(0)
     seen: list[np.ndarray] = field(default_factory=list)  # after each sample, marks of what the items have noted so far
     notes: np.ndarray | None = None  # sorted; what the items have noted at the end
     owner: np.ndarray | None = None  # the item of each
@@ -109,16 +110,16 @@ def _walk(sym: np.ndarray, at: np.ndarray, rep: Repetition, marks: bool) -> tupl
             note = (note ^ here) * _U(0x9E3779B97F4A7C15) + _U(1)
             note ^= note >> _U(29)
             if marks:
-                stay = np.flatnonzero(rep.seen[k][(note >> _U(44)).astype(np.int64)])
+                stay = np.flatnonzero(rep.seen[k][(note >> rep.shift).astype(np.int64)])
                 who, pointer, note, here = who[stay], pointer[stay], note[stay], here[stay]
             k += 1
-        pointer = pointer + ((here * rep.turns[j]) >> _U(63)).astype(np.int64)
+        pointer = pointer + ((here * rep.turns[j]) >> _U(63)).view(np.int64)
     return who, note
 
 
 def _repetition(rng: np.random.Generator, span: int) -> Repetition:
     """Sampled steps: the first one early, as all windows walk there; the rest anywhere in the span."""
-    first = int(rng.integers(0, max(1, min(6, span - SAMPLED + 1))))
+    first = int(rng.integers(0, max(1, min(4, span - SAMPLED + 1))))
     rest = rng.choice(np.arange(first + 1, max(span, first + SAMPLED)), SAMPLED - 1, replace=False)
     steps = np.sort(np.concatenate(([first], rest)))
     return Repetition(rng.integers(0, 2**63, int(steps[-1]) + 1, dtype=np.uint64) * _U(2) + _U(1), steps)
@@ -190,8 +191,10 @@ def prepare(ids: list, texts: list[str], edits: float = EDITS, recall: float = T
                 if j == rep.steps[k]:
                     note = (note ^ here) * _U(0x9E3779B97F4A7C15) + _U(1)
                     note ^= note >> _U(29)
-                    marks = np.zeros(1 << 20, bool)
-                    marks[(note >> _U(44)).astype(np.int64)] = True
+                    # 64 marks for each item, so that few others share one; as few as that to stay in the processor's cache.
+                    marks = np.zeros(1 << max(12, min(22, len(own).bit_length() + 6)), bool)
+                    rep.shift = _U(64 - len(marks).bit_length() + 1)
+                    marks[(note >> rep.shift).astype(np.int64)] = True
                     rep.seen.append(marks)
                     k += 1
                 pointer = pointer + ((here * rep.turns[j]) >> _U(63)).astype(np.int64)
