@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from . import library, texts  # noqa: F401
+from . import events, library, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
