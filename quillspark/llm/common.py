@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -84,6 +85,24 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def small(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most `limit` bytes of text each, one row at least; nothing is copied."""
+    for batch in batches:
+        _, offsets, _ = utf8(batch.column(column))
+        for a, b in blocks(offsets, limit):
+            yield batch.slice(a, b - a)
+    release()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     x = x.astype(np.uint64, copy=True)

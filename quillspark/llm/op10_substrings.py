@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, long_id, mix64, row_words, staged, table, utf8, word_hashes
+from .common import blocks, long_id, mix64, row_words, small, staged, table, utf8, word_hashes
 
 WINDOW = 35
 ANCHOR = 12
@@ -84,7 +84,7 @@ def facts(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """For each row: key, name of the text, words, digest of all its words, and its anchors (one that stands twice, twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             raw, offsets, valid = utf8(batch.column(1))
             n = len(valid)
             count, digest = np.zeros(n, np.int64), []
@@ -116,7 +116,7 @@ def suffixes(candidates: DataFrame, n_groups: int, window: int, anchor: int) ->
     """Leaves of each batch's subtree. weight 1: a place to mark if the path stands elsewhere; 2: the path is a repeat, nothing to mark; 0: places already marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 3):
             h1, h2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             copies = np.asarray(batch.column(2)).astype(np.int64)
             raw, offsets, _ = utf8(batch.column(3))
@@ -190,7 +190,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _without(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[bytes]]]:
     """Each batch of (h1, h2, text, places) with the words removed and the kept text of each row."""
-    for batch in batches:
+    for batch in small(batches, 2):
         raw, offsets, valid = utf8(batch.column(2))
         gone, kept = np.zeros(len(valid), np.int64), []
         for r, places in enumerate(batch.column(3)):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, fresh_name, table, typed, utf8
+from .common import BLOCK_BYTES, fresh_name, small, table, typed, utf8
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -227,7 +227,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         codes = np.array([*m.langs, "und"], object)
-        for batch in batches:
+        for batch in small(batches, at):
             lang, score, rate = judge(m, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes[lang], pa.string()), pa.array(score), pa.array(rate)], names=[*batch.schema.names, *names])
 

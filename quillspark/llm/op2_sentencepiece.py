@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh_name, long_id, mix64, table, typed, utf8
+from .common import blocks, fresh_name, long_id, mix64, small, table, typed, utf8
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -145,7 +145,7 @@ class Lattices:
     A word is named by its text without the space before it; other runs of text by two spaces and the run.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_edges: int = 8_000_000):
+    def __init__(self, vocabulary: Vocabulary, most_edges: int = 5_000_000):
         self.v, self.most = vocabulary, most_edges
         self.clear()
 
@@ -351,7 +351,7 @@ def encode(df: DataFrame, path: str = MODEL_PATH, theta: float = 1.0, seed: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(shared)
-        for batch in batches:
+        for batch in small(batches, at):
             yield pa.RecordBatch.from_arrays([*batch.columns, encode_column(lattices, batch.column(at), long_id(batch.column(at_key)), seed)], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, typed(df, (out, T.ArrayType(T.IntegerType()))))
@@ -370,10 +370,19 @@ def decode(df: DataFrame, path: str = MODEL_PATH, pieces: str = "piece_ids", out
     return df.mapInArrow(run, typed(df, (out, T.StringType())))
 
 
-def round_trip(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
-    """docs with piece_ids and decoded_text under names that are free, in this order, at the end."""
+def round_trip(docs: DataFrame, path: str = MODEL_PATH, theta: float = 1.0, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with piece_ids and decoded_text under names that are free, in this order, at the end; both in one pass."""
     ids, back = fresh_name(docs, "piece_ids"), fresh_name(docs, "decoded_text")
-    return decode(encode(docs, path, out=ids), path, pieces=ids, out=back)
+    shared = docs.sparkSession.sparkContext.broadcast((f"{path} {theta}", load_vocabulary(path, theta)))
+    at, at_key = docs.columns.index(text), docs.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices = _lattices(shared)
+        for batch in small(batches, at):
+            pieces = encode_column(lattices, batch.column(at), long_id(batch.column(at_key)), seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pieces, decode_column(lattices.v, pieces)], names=[*batch.schema.names, ids, back])
+
+    return docs.mapInArrow(run, typed(docs, (ids, T.ArrayType(T.IntegerType())), (back, T.StringType())))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, row_words, table, utf8, word_hashes
+from .common import blocks, row_words, small, table, utf8, word_hashes
 
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.2
@@ -58,9 +58,11 @@ def fold(raw: np.ndarray) -> np.ndarray:
 
 def symbols(raw: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, row, start, end): a symbol for each word of the rows a to b, and a zero after each row, which no walk leaves."""
-    folded = fold(raw[: int(offsets[b])])
-    starts, ends, rows = row_words(folded, offsets, a, b, _GAP)
+    lo = int(offsets[a])
+    folded = fold(raw[lo : int(offsets[b])])
+    starts, ends, rows = row_words(folded, offsets[a : b + 1] - lo, 0, b - a, _GAP)
     hashes = word_hashes(folded, starts, ends, _GAP)
+    starts, ends, rows = starts + lo, ends + lo, rows + a
     hashes[hashes == 0] = 1
     place = np.arange(len(starts)) + (rows - a)
     sym, row = np.zeros(len(starts) + b - a, np.uint64), np.full(len(starts) + b - a, -1)
@@ -314,7 +316,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             part = shared.value
             item_type = pa.array(part.ids).type if part.ids else pa.int64()
-            for batch in batches:
+            for batch in small(batches, 1):
                 raw, offsets, _ = utf8(batch.column(1))
                 found = search(raw, offsets, part)
                 if found:
@@ -338,7 +340,7 @@ def remove_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", **
         shared = docs.sparkSession.sparkContext.broadcast(prepare(ids, texts, **options))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches, at):
                 raw, offsets, _ = utf8(batch.column(at))
                 hit = np.zeros(batch.num_rows, bool)
                 hit[[x[0] for x in search(raw, offsets, shared.value)]] = True

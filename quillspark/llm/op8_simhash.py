@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh_name, mix64, staged, table, typed, utf8
+from .common import blocks, fresh_name, mix64, small, staged, table, typed, utf8
 from .components import components
 
 #: First bit and number of bits of each block.
@@ -87,7 +87,7 @@ def with_fingerprint(df: DataFrame, words_each: int = 4, prints: int = 1, text:
     at, names = df.columns.index(text), _names(prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, at):
             raw, offsets, _ = utf8(batch.column(at))
             made = fingerprints(raw, offsets, words_each, prints)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(made[:, k]) for k in range(prints)]], names=[*batch.schema.names, *names])

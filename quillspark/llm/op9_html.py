@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, typed
+from .common import small, table, typed
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img picture source center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -345,7 +345,7 @@ def extract(df: DataFrame, weights: Weights, html: str = "html", out: str = "tex
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, at):
             texts: list[str] = []
             for a in range(0, batch.num_rows, 256):
                 trees = [parse(p or "") for p in batch.column(at).slice(a, 256).to_pylist()]
