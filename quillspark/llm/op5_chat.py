@@ -45,7 +45,7 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     # Most tables have no such chunk; the join is left to the adaptive planner, as their number is not bounded.
     cut = rows.join(heavy, rows["conv"].eqNullSafe(heavy["hc"]) & (rows["block"] == heavy["hb"]), "left")
     # Within a heavy chunk, the order of turn, role and hash goes on; equal turns and roles are cut by leading bits of the hash.
-    lead = F.expr("shiftrightunsigned(h + (-9223372036854775807L - 1), 64 - bits)")
+    lead = F.expr("shiftrightunsigned(h ^ (-9223372036854775807L - 1), 64 - bits)")
     part = F.when(F.col("bits").isNull(), F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("string").alias("r"), F.lit(None).cast("long").alias("b"))).otherwise(F.struct(F.col("turn").alias("t"), F.col("role").alias("r"), lead.alias("b")))
     pieces = cut.select("conv", F.struct("block", part.alias("part")).alias("place"), "turn", "role", "h", "text")
     chunks = pieces.groupBy("conv", "place").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "h", "text"))).alias("turns"))
