@@ -108,6 +108,8 @@ def facts(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 
 def _intervals(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted places as (first, number) of runs that follow each other."""
+    if not len(place):
+        return place, place
     head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1] + 1)))
     return place[head], np.diff(np.concatenate((head, [len(place)])))
 
@@ -130,6 +132,8 @@ def suffixes(candidates: DataFrame, n_groups: int, window: int, anchor: int) ->
                     continue
                 slot = np.minimum(np.searchsorted(known, seed), len(known) - 1)
                 live = known[slot] == seed
+                if not live.any():
+                    continue
                 row, first, seed, often = row[live], first[live], seed[live], often[slot[live]]
                 p1, p2 = rolling(hashes, window, 1)[first], rolling(hashes, window, 2)[first]
                 began = np.searchsorted(row_words(raw, offsets, a, b)[2], row)  # the row's first word in the block
