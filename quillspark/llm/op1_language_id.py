@@ -65,10 +65,10 @@ def train(samples: dict[str, list[bytes]], order: int = 4, max_contexts: int = 6
         sym = symbol[raw]
         packed = np.zeros(len(raw), np.int64)
         for k in range(order + 1):
+            if len(sym) <= k:
+                break
             if k:
-                packed = packed[1:] if k == 1 else packed
-                older = sym[: len(sym) - k]
-                packed = (packed if k == 1 else packed[1:]) + (older + 1) * base ** (k - 1)
+                packed = packed[1:] + (sym[: len(sym) - k] + 1) * base ** (k - 1)
             seen, counts = np.unique(packed[at[k:] >= k] * n + sym[k:][at[k:] >= k], return_counts=True)
             for key, c in zip(seen.tolist(), counts.tolist(), strict=True):
                 ctx, s = divmod(key, n)
