@@ -55,7 +55,7 @@ _NAMED = {w: k for k, ws in NAMES.items() for w in ws.split()}
 
 @dataclass
 class Tree:
-    """Nodes of a page in page order: parent (-1 for the root), depth, features, and the text of leaves."""
+    """Nodes of a page in page order: parent (-1 at the top), depth, features, and the text of leaves."""
 
     parent: list[int] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
@@ -96,7 +96,7 @@ def tag_features(tag: str, attrs: str) -> tuple[list[str], bool]:
 def parse(page: str) -> Tree:
     """The tree of block elements and runs of text."""
     tree = Tree()
-    stack = [(tree.add(-1, ["<root>"]), "root")]
+    stack = [(-1, "root")]  # the page itself is no node: it holds the article and all around it
     run: list[str] = []
     state = {"linked": 0, "a": 0, "skip": 0}
 
@@ -293,7 +293,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, set[str]]]:
     return out
 
 
-def fit(pages: list[tuple[str, set[str]]], rounds: int = 250, rate: float = 0.06, ridge: float = 2e-4) -> Weights:
+def fit(pages: list[tuple[str, set[str]]], rounds: int = 250, rate: float = 0.15, ridge: float = 1e-5) -> Weights:
     """Weights of the greatest likelihood of the labelled pages. An element is content if most of its text is."""
     trees = [parse(p) for p, _ in pages]
     names: dict[str, int] = {}
