@@ -162,15 +162,15 @@ def names_from_text(read: Reader) -> DataFrame:
 
 
 @query("replacement_chase", """WITH RECURSIVE hops AS (
-  SELECT s_suppkey AS id, s_suppkey AS cur, 0 AS hop FROM supplier
-  UNION ALL SELECT h.id, (h.cur * 7 + 3) % 100, hop + 1 FROM hops h WHERE hop < 5 AND h.cur % 10 <> 0
+  SELECT n_nationkey AS id, n_nationkey AS cur, 0 AS hop FROM nation
+  UNION ALL SELECT h.id, (h.cur * 7 + 3) % 25, hop + 1 FROM hops h WHERE hop < 5 AND h.cur % 10 <> 0
 )
-SELECT s.s_suppkey AS id, (SELECT cur FROM hops h WHERE h.id = s.s_suppkey AND hop > 0 AND cur % 4 = 1 ORDER BY hop LIMIT 1) AS target FROM supplier s""")
+SELECT n_nationkey AS id, (SELECT cur FROM hops h WHERE h.id = n_nationkey AND hop > 0 AND cur % 4 = 1 ORDER BY hop LIMIT 1) AS target FROM nation""")
 def replacement_chase(read: Reader) -> DataFrame:
     """The first visible work within five hops of replaced_by."""
-    s = read("supplier").select(F.col("s_suppkey").alias("id"))
-    links = s.select("id", F.when(F.col("id") % 10 != 0, (F.col("id") * 7 + 3) % 100).alias("replaced_by_id"))
-    return R.follow(links, s, s.where("id % 4 = 1"))
+    n = read("nation").select(F.col("n_nationkey").alias("id"))
+    links = n.select("id", F.when(F.col("id") % 10 != 0, (F.col("id") * 7 + 3) % 25).alias("replaced_by_id"))
+    return R.follow(links, n, n.where("id % 4 = 1"))
 
 
 @query("collection_numbering", "SELECT o_orderkey, o_custkey, 2 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position FROM orders WHERE o_orderstatus = 'P'")

@@ -143,8 +143,8 @@ def trigram_pairs(read: Reader) -> DataFrame:
     return D.similar_pairs(d)
 
 
-@query("link_refresh", """WITH old AS (SELECT o_orderkey AS first, o_orderkey + 1 AS second, 0.6 AS score, 'fuzzy' AS matched_on, CASE WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'distinct' END AS state FROM orders WHERE o_orderkey < 1000),
-new AS (SELECT o_orderkey AS first, o_orderkey + 1 AS second, 0.9 AS score, 'opening' AS matched_on FROM orders WHERE o_orderkey BETWEEN 500 AND 1500)
+@query("link_refresh", """WITH old AS (SELECT o_orderkey AS first, o_orderkey + 1 AS second, 0.6::DOUBLE AS score, 'fuzzy' AS matched_on, CASE WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'distinct' END AS state FROM orders WHERE o_orderkey < 1000),
+new AS (SELECT o_orderkey AS first, o_orderkey + 1 AS second, 0.9::DOUBLE AS score, 'opening' AS matched_on FROM orders WHERE o_orderkey BETWEEN 500 AND 1500)
 SELECT coalesce(o.first, n.first) AS first, coalesce(o.second, n.second) AS second, CASE WHEN n.first IS NOT NULL AND coalesce(state, 'pending') = 'pending' THEN n.score ELSE o.score END AS score,
 CASE WHEN n.first IS NOT NULL AND coalesce(state, 'pending') = 'pending' THEN n.matched_on ELSE o.matched_on END AS matched_on, coalesce(state, 'pending') AS state
 FROM old o FULL JOIN new n ON o.first = n.first AND o.second = n.second""")
