@@ -57,6 +57,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -152,22 +157,33 @@ def tag_label(name: Column) -> Column:
 def split_title(raw: Column) -> Column:
     """(title, native_title, author) of `form | transliteration - native title | author`."""
     parts = F.filter(F.transform(F.split(blank(raw), r"\|"), lambda p: F.regexp_replace(p, "^[ \\t\u200f]+|[ \\t\u200f]+$", "")), lambda p: p != "")
-    last = F.lower(F.try_element_at(parts, F.lit(-1)))
-    hint = F.greatest(*[F.contains(last, F.lit(h)) for h in AUTHOR_HINTS])
-    shaped = last.rlike("^(al-|abu |abd )") & (F.size(F.split(strip(last), r"\s+")) <= 5)
-    has_author = (F.size(parts) > 1) & (hint | shaped) & ~F.try_element_at(parts, F.lit(-1)).rlike(ARABIC)
-    author = F.when(has_author, F.element_at(parts, -1)).otherwise("")
-    rest = F.when(has_author, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    form = (F.size(rest) > 1) & F.lower(F.regexp_replace(F.try_element_at(rest, F.lit(1)), ":+$", "")).isin(*FORM_WORDS)
-    body = strip(F.array_join(F.when(form, F.slice(rest, 2, 1 << 20)).otherwise(rest), " | "))
     edge = "^[ \\-–—:|\\t]+|[ \\-–—:|\\t]+$"
-    at = F.regexp_instr(body, F.lit(ARABIC))
-    latin = F.regexp_replace(F.when(at > 0, F.substring(body, F.lit(1), at - 1)).otherwise(body), edge, "")
-    native = F.when(at > 0, F.regexp_replace(F.substring(body, at, F.length(body)), edge, "")).otherwise("")
-    return F.struct(
-        F.when(latin != "", latin).when(native != "", native).otherwise(body).alias("title"),
-        F.when(latin != "", native).otherwise("").alias("native_title"), author.alias("author"),
-    )
+
+    def by_author(p: Column) -> Column:
+        """(rest, author) of the parts."""
+        last = F.lower(F.try_element_at(p, F.lit(-1)))
+        hint = last.rlike("|".join(h.replace(".", r"\.") for h in AUTHOR_HINTS))
+        shaped = last.rlike("^(al-|abu |abd )") & (F.size(F.split(strip(last), r"\s+")) <= 5)
+        named = (F.size(p) > 1) & (hint | shaped) & ~F.try_element_at(p, F.lit(-1)).rlike(ARABIC)
+        return F.when(named, F.struct(F.slice(p, F.lit(1), F.size(p) - 1).alias("rest"), F.element_at(p, -1).alias("author"))).otherwise(F.struct(p.alias("rest"), F.lit("").alias("author")))
+
+    def body(x: Column) -> Column:
+        form = (F.size(x["rest"]) > 1) & F.lower(F.regexp_replace(F.try_element_at(x["rest"], F.lit(1)), ":+$", "")).isin(*FORM_WORDS)
+        return F.struct(strip(F.array_join(F.when(form, F.slice(x["rest"], 2, 1 << 20)).otherwise(x["rest"]), " | ")).alias("body"), x["author"].alias("author"))
+
+    def by_script(x: Column) -> Column:
+        at = F.regexp_instr(x["body"], F.lit(ARABIC))
+        latin = F.regexp_replace(F.when(at > 0, F.substring(x["body"], F.lit(1), at - 1)).otherwise(x["body"]), edge, "")
+        native = F.when(at > 0, F.regexp_replace(F.substring(x["body"], at, F.length(x["body"])), edge, "")).otherwise("")
+        return F.struct(x["body"].alias("body"), x["author"].alias("author"), latin.alias("latin"), native.alias("native"))
+
+    def named(x: Column) -> Column:
+        return F.struct(
+            F.when(x["latin"] != "", x["latin"]).when(x["native"] != "", x["native"]).otherwise(x["body"]).alias("title"),
+            F.when(x["latin"] != "", x["native"]).otherwise("").alias("native_title"), x["author"].alias("author"),
+        )
+
+    return let(let(let(let(parts, by_author), body), by_script), named)
 
 
 def clean_page_title(c: Column) -> Column:
@@ -261,7 +277,7 @@ def slug_base(title: Column, transliteration: Column, id_: Column) -> Column:
     return F.coalesce(own, F.concat(F.lit("qasida-"), id_.cast("string")))
 
 
-def meta_description(title: Column, author: Column, dedication: Column, language: Column, transliteration: Column, translation: Column, has_scans: Column) -> Column:
+def meta_description(title: Column, author: Column, dedication: Column, language: Column, transliteration: Column, translation: Column, has_scans: Column, site: str) -> Column:
     """The sentence a search engine shows, composed of what the record has."""
     set_ = lambda c: F.nullif(c, F.lit(""))
     opening = F.concat(F.coalesce(set_(title), F.lit("A qasida")), F.when(author.isNotNull(), F.concat(F.lit(" by "), author)).otherwise(""), F.when(dedication.isNotNull(), F.concat(F.lit(", in praise of "), dedication)).otherwise(""))
@@ -271,7 +287,7 @@ def meta_description(title: Column, author: Column, dedication: Column, language
     ))
     n = F.size(carries)
     layers = F.when(n > 1, F.concat(F.array_join(F.slice(carries, F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at(carries, -1))).otherwise(F.element_at(carries, 1))
-    return F.concat(opening, F.lit(". Read the "), layers, F.lit(" on Qasida Library."))
+    return F.concat(opening, F.lit(". Read the "), layers, F.lit(f" on {site}."))
 
 
 def suggested_tags(c: Column) -> Column:

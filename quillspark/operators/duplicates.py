@@ -22,7 +22,7 @@ def similar_pairs(works: DataFrame, id_: str = "id", signature: str = "signature
     a star to the smallest id and to each other through it, so a group of copies yields as many rows as it has copies.
     """
     rows = works.where(X.blank(F.col(signature)) != "").select(F.col(id_).alias("id"), F.col(signature).alias("s"))
-    groups = cut(rows.groupBy("s").agg(F.min("id").alias("lead")).withColumn("grams", X.trigrams(F.col("s"))).withColumn("n", F.size("grams")).where("n > 0"))
+    groups = cut(rows.groupBy("s").agg(F.min("id").alias("lead")).withColumn("grams", F.transform(X.trigrams(F.col("s")), lambda g: F.xxhash64(g))).withColumn("n", F.size("grams")).where("n > 0"))
     each = groups.select("lead", "n", F.explode("grams").alias("g"))
     rare = each.groupBy("g").agg(F.count("*").alias("df"))
     ordered = each.join(rare, "g").groupBy("lead", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
