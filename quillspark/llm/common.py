@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a vectorised kernel works on at once; its temporaries are a few dozen times this.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,13 +94,14 @@ def release() -> None:
         pass
 
 
-def small(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `limit` bytes of text each, one row at least; nothing is copied."""
     for batch in batches:
         _, offsets, _ = utf8(batch.column(column))
         for a, b in blocks(offsets, limit):
             yield batch.slice(a, b - a)
-    release()
+        del batch
+        release()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -145,7 +145,7 @@ class Lattices:
     A word is named by its text without the space before it; other runs of text by two spaces and the run.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_edges: int = 5_000_000):
+    def __init__(self, vocabulary: Vocabulary, most_edges: int = 3_000_000):
         self.v, self.most = vocabulary, most_edges
         self.clear()
 
