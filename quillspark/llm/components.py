@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def with_smallest(rooted: DataFrame, low: str, out: str, salts: int = 16) -> DataFrame:
+    """rooted (node, root, ...) with the smallest `low` of each root. The minima are combined before the shuffle and go
+    out `salts` times, so the rows of a large component come to as many tasks."""
+    lows = rooted.groupBy("root").agg(F.min(low).alias(out)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rooted.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    return salted.join(lows, ["root", "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link; root is a node of its component, the same for all its nodes. Nulls are no nodes."""
     first = lambda c: F.min(F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v")))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .components import components
+from .components import components, with_smallest
 
 THRESHOLD = 0.93
 SAMPLE = 20_000
@@ -427,10 +427,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     roots = components(whole.select("a", "b").union(linked), "a", "b")
     members = balled.select("_r", "_k", "lid")
     per_ball = balled.groupBy("lid").agg(F.min("_k").alias("low"), F.max("size").alias("size"))
-    named = per_ball.join(roots, per_ball["lid"] == roots["node"], "left").select("lid", "low", "size", F.coalesce("root", "lid").alias("root"))
+    named = per_ball.join(roots, per_ball["lid"] == roots["node"], "left").select("lid", F.col("lid").alias("node"), "low", "size", F.coalesce("root", "lid").alias("root"))
     named = named.join(degree, "lid", "left")
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "root").select("lid", "component_id", (F.col("size") - 1 + F.coalesce("around", F.lit(0))).alias("base"))
+    named = with_smallest(named, "low", "component_id").select("lid", "component_id", (F.col("size") - 1 + F.coalesce("around", F.lit(0))).alias("base"))
     linked_rows = members.join(named, "lid").join(exact, "_r", "left").select("_r", "component_id", (F.col("base") + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = rows.select("_r", "_k").join(linked_rows, "_r", "left")
     found = F.when(F.col("n_links").isNull(), F.col("_k")).otherwise(F.col("component_id"))

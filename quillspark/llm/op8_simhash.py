@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import blocks, fresh_name, mix64, small, staged, table, typed, utf8
-from .components import components
+from .components import components, with_smallest
 
 #: First bit and number of bits of each block.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -209,8 +209,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     groups = staged(rows.groupBy("node").agg(F.min("_k").alias("low"), *[F.any_value(n).alias(n) for n in names]))
     roots = components(links(groups, threshold, prints))
     rooted = groups.join(roots.withColumnRenamed("node", "at"), groups["node"] == F.col("at"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("node", "root", "component_id")
+    named = with_smallest(rooted, "low", "component_id").select("node", "root", "component_id")
     return rows.join(named, "node").select(F.col("_k").alias(key), "h1", "h2", *names, "root", "component_id")
 
 
