@@ -12,10 +12,9 @@ bounded number at home and a bounded number that reached it; the counts of all a
 A tile returns a spanning forest of its links, not all of them, so what a group of copies yields grows with its
 size. Components come from repeated contraction.
 
-Near-duplicates of a lower similarity differ in too many of 64 bits to be told from chance. For them a text gets
-several independent prints: those that agree but for one bit in any block of any print are compared in all bits.
-`NEAR` is the pipeline's rule; it finds 84 % of pairs of similarity 0.8, 95 % at 0.85 and 99 % at 0.9, and more of a
-group of three or more, as each pair of it is another chance.
+Near-duplicates of a lower similarity differ in too many of 64 bits to be told from chance. The pipeline's stage
+therefore takes the sets of five-word shingles themselves (`similar`): candidates from prefix filtering, which loses no
+pair, and each one verified by the exact similarity, 0.8 at least.
 
 Defined results: a text that is null or has no word has fingerprint zero and is linked like any other; with fewer
 words than a shingle, the whole sequence is the shingle. component_id is the smallest key reachable, null if all
@@ -30,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh_name, mix64, small, staged, table, typed, utf8
+from .common import blocks, fresh_name, mix64, row_words, small, staged, table, typed, utf8, word_hashes
 from .components import components, with_smallest
 
 #: First bit and number of bits of each block.
@@ -213,16 +212,137 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return rows.join(named, "node").select(F.col("_k").alias(key), "h1", "h2", *names, "root", "component_id")
 
 
-#: The stage's shingles, prints and bits. Fingerprints differ in angle / pi of their bits, and a Jaccard similarity s is
-#: a cosine of 2 s / (1 + s): at 0.8, 39 of 256 bits differ on average, with a deviation of 6, so 50 take nearly all.
-NEAR = {"words_each": 5, "prints": 4, "threshold": 50}
+#: The pipeline's rule: texts whose sets of shingles of so many words have a Jaccard similarity of OVER / UNDER at least.
+NEAR_WORDS = 5
+OVER, UNDER = 4, 5
+#: About so many texts are sampled for the order of shingles, and at most so many shingles are known as frequent.
+ORDER_SAMPLE = 20_000
+ORDER_SHINGLES = 200_000
+_U = np.uint64
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **rule) -> DataFrame:
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words_each: int = NEAR_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, sizes, shingles) of the rows a to b, a block at a time: each row's distinct shingle hashes in ascending order.
+    A text of fewer words than a shingle is one shingle, one without a word has none."""
+    for a, b in blocks(offsets):
+        lo = int(offsets[a])
+        own = raw[lo : int(offsets[b])].copy()
+        own[(own >= 65) & (own <= 90)] += 32
+        starts, ends, rows = row_words(own, offsets[a : b + 1] - lo, 0, b - a)
+        hashes = word_hashes(own, starts, ends)
+        n = len(hashes)
+        total, live = np.zeros(n, np.uint64), np.ones(n, bool)
+        first = np.searchsorted(rows, np.arange(b - a))
+        count = np.bincount(rows, minlength=b - a)
+        short = (count < words_each)[rows] if n else live
+        for k in range(words_each):
+            at = np.arange(n) + k
+            inside = at < (first + count)[rows] if n else live
+            live &= inside | short
+            word = np.where(inside, hashes[np.minimum(at, max(n - 1, 0))], _U(k + 1))
+            total = mix64(total * _U(0x9E3779B97F4A7C15) + word)
+        live &= ~short | (np.arange(n) == first[rows])
+        rows, total = rows[live], total[live]
+        order = np.lexsort((total, rows))
+        rows, total = rows[order], total[order]
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows[1:] != rows[:-1]) | (total[1:] != total[:-1])
+        rows, total = rows[fresh], total[fresh]
+        yield a, b, np.bincount(rows, minlength=b - a), total
+
+
+def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """df with the text replaced by `node`, the hash of its shingle set, `n`, the set's size, and, as `what` says, the whole
+    `set` or the `prefix`: the n - ceil(n * OVER / UNDER) + 1 shingles that come first in the order of (frequency, hash)."""
+    at = df.columns.index(text)
+    shared = df.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None
+    rest = [f for f in df.schema.fields if f.name != text]
+    shape = T.StructType([*rest, T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *([T.StructField(what, T.ArrayType(T.LongType()))] if what else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, at):
+            raw, offsets, _ = utf8(batch.column(at))
+            for a, b, sizes, flat in shingle_sets(raw, offsets):
+                rows = np.repeat(np.arange(b - a), sizes)
+                node = np.zeros(b - a, np.uint64)
+                np.add.at(node, rows, mix64(flat ^ _U(0x5851F42D4C957F2D)))
+                node = mix64(node + sizes.astype(np.uint64))
+                kept = sizes
+                if what == "prefix":
+                    common = np.zeros(len(flat), np.int64)
+                    known, seen = shared.value if shared is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                        common = np.where(known[place] == flat, seen[place], 0)
+                    kept = np.where(sizes > 0, sizes + (-OVER * sizes // UNDER) + 1, 0)
+                    order = np.lexsort((flat, common, rows))
+                    nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    flat = flat[order][nth < np.repeat(kept, sizes)]
+                columns = [c for k, c in enumerate(batch.slice(a, b - a).columns) if k != at]
+                columns += [pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64))]
+                if what:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(flat.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names=shape.names)
+
+    return df.mapInArrow(run, shape)
+
+
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, texts) of the most frequent shingles of a sample, in ascending order of the shingle. Any order of shingles
+    gives the same links; this one keeps shingles of many texts out of the prefixes."""
+    nodes = rows.count()
+    step = max(1, nodes // ORDER_SAMPLE)
+    some = _with_sets(rows.where(F.pmod(F.xxhash64("_t", F.lit(3)), F.lit(step)) == 0).select("_t").distinct(), "_t", "set")
+    top = some.select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "x").limit(ORDER_SHINGLES).toArrow()
+    known = np.asarray(top["x"]).astype(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], np.asarray(top["c"]).astype(np.int64)[order]
+
+
+def similar(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of the texts `_t` whose components are those of all pairs of shingle sets with a
+    similarity of OVER / UNDER at least; every link is such a pair.
+
+    Two such sets share a shingle of their prefixes in any common order, so no pair is lost; every candidate is verified
+    on its whole sets. Of each shingle, the first node is compared with the others in a first round, and in a second
+    one all pairs that the first has not joined, so a group of near copies needs no square of its size.
+    """
+    prefixes = _with_sets(rows.select("_t"), "_t", "prefix", _frequent(rows))
+    posted = prefixes.select("node", "n", F.explode("prefix").alias("x"))
+    per = Window.partitionBy("x")
+    live = staged(posted.withColumns({"first": F.min(F.struct("node", "n")).over(per), "last": F.max("node").over(per)}).where(F.col("first.node") != F.col("last")).drop("last").distinct())
+    wanted = live.select("node").distinct()
+    sets = staged(_with_sets(rows.select("_t"), "_t", "set").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+    near = lambda m, n: (F.least(m, n) * UNDER >= F.greatest(m, n) * OVER)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return staged(both.where(shared * (OVER + UNDER) >= (F.size("sa") + F.size("sb")) * OVER).select("a", "b"))
+
+    star = verified(live.where((F.col("first.node") != F.col("node")) & near(F.col("first.n"), F.col("n"))).select(F.col("first.node").alias("a"), F.col("node").alias("b")))
+    roots = components(star)
+    rooted = live.join(roots, "node", "left").select("x", "node", "n", F.coalesce("root", "node").alias("root"))
+    # Only pairs of two roots are left: those of a shingle with one root go, and of the others one end is outside the
+    # largest root, so that root meets the others but not itself.
+    counted = rooted.withColumn("c", F.count("*").over(Window.partitionBy("x", "root")))
+    mixed = counted.withColumns({"main": F.max(F.struct("c", "root")).over(per)["root"], "low": F.min("root").over(per), "high": F.max("root").over(per)})
+    mixed = staged(mixed.where("low <> high").select("x", "node", "n", "root", "main"))
+    one, two = (mixed.select("x", *[F.col(c).alias(c + k) for c in ("node", "n", "root", "main")]) for k in "12")
+    cross = one.where("root1 <> main1").join(two, "x").where((F.col("root1") != F.col("root2")) & near(F.col("n1"), F.col("n2")))
+    cross = cross.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+    return star.union(verified(cross))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: the smallest key's; of its texts, the smallest hash's."""
-    found = near_duplicates(docs, key, text, **(rule or NEAR))
-    stay = staged(found.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), "h1", "h2")).alias("s")).select("s.*"))
-    again = found.groupBy(F.col(key).alias("k"), "h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+    named = staged(_with_sets(rows.select("_k", "_t", F.xxhash64("_t").alias("h1"), F.xxhash64(F.lit(1), "_t").alias("h2")), "_t", "").drop("n"))
+    roots = components(similar(rows)).withColumnRenamed("node", "at")
+    low = F.min(F.struct(F.col("_k").alias("k"), "h1", "h2")).alias("s")
+    lows = named.groupBy("node").agg(low)
+    stay = staged(lows.join(roots, lows["node"] == roots["at"], "left").groupBy(F.coalesce("root", "node")).agg(F.min("s").alias("s")).select("s.*"))
+    again = named.groupBy(F.col("_k").alias("k"), "h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     names = {n: fresh_name(docs, n) for n in ("k", "h1", "h2")}
     own = docs.withColumns({names["h1"]: F.xxhash64(F.col(text).cast("string")), names["h2"]: F.xxhash64(F.lit(1), F.col(text).cast("string"))})
     stay = stay.select(*[F.col(n).alias(names[n]) for n in names])

@@ -394,6 +394,46 @@ def test_one_of_each(spark):
     assert left.columns == odd.columns and sorted(str(r["text"]) for r in left.where("text IN ('word', '  two  words ')").collect()) == ["  two  words ", "word"]
 
 
+def shingle_similarity(a, b, n=5):
+    of = lambda t: {tuple(w[i : i + n]) for w in [t.lower().split()] for i in range(max(1, len(w) - n + 1))}
+    return len(of(a) & of(b)) / len(of(a) | of(b))
+
+
+def test_one_of_each_keeps_unlike_texts(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join("bcdfghlmnprstaeiou"[i] for i in rng.integers(0, 18, 8))
+    texts = ["de " * 300 + " ".join(word() for _ in range(40)) for _ in range(8)]
+    for _ in range(30):  # similarities of 0.6 to 0.78
+        a = [word() for _ in range(204)]
+        b = a.copy()
+        for i in range(int(rng.integers(5, 10))):
+            b[10 + 20 * i] = word()
+        texts += [" ".join(a), " ".join(b)]
+    assert all(shingle_similarity(a, b) < 0.8 for a, b in itertools.combinations(texts, 2))
+    assert op8.one_of_each(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)).count() == len(texts)
+
+
+def test_similar_finds_every_pair(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join("bcdfghlmnprstaeiou"[i] for i in rng.integers(0, 18, 8))
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    for _ in range(150):  # similarities of 0.8 to 0.85
+        a = [word() for _ in range(204)]
+        b = a.copy()
+        for i in range(4):
+            b[10 + 20 * i] = word()
+        b = b[: len(b) - int(rng.integers(0, 3))]
+        texts += [" ".join(a), " ".join(b)]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if texts[i] and texts[j] and texts[i].split() and texts[j].split() and abs(len(texts[i]) - len(texts[j])) < 0.3 * max(len(texts[i]), len(texts[j])) and shingle_similarity(texts[i], texts[j]) >= 0.8}
+    assert len(want) >= 150
+    kept = [r["doc_id"] for r in op8.one_of_each(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()]
+    label = np.arange(len(texts))
+    for i, j in sorted(want):
+        a, b = sorted((label[i], label[j]))
+        label[label == b] = a
+    assert sorted(kept) == sorted(set(label.tolist()))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
