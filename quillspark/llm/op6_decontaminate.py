@@ -11,7 +11,9 @@ any run of words at that place, which may be a fifth of the item's words at most
 All windows of a block walk in lockstep. A window leaves a repetition at the first sampled word that no item has
 there, so most windows take a few steps only, and a candidate needs enough of the item's word pairs around it before the
 edit distance is computed. Items are grouped by size, as the walk's length depends on it. How many repetitions a
-group gets is found by simulation on its own items, edited at the threshold, for the recall asked for.
+group gets is found by simulation on its own items, edited at the threshold, for the recall asked for. Items of 128 words
+and more are cut into pieces of 64 words or a little more, as a walk of a long item seldom agrees: of an item with a fifth
+of its words edited some piece has a fifth at most, so a piece brings the item to the exact check.
 
 The items are the stated query set. They go to the executors in parts of at most `part_bytes` of text, one pass over
 the texts each. Documents are neither shuffled nor collected.
@@ -37,7 +39,10 @@ from .common import blocks, row_words, small, table, utf8, word_hashes
 EDITS = 0.2
 TARGET_RECALL = 0.98
 SAMPLED = 3
-MOST_REPETITIONS = 48
+#: Items of twice as many words are looked for by pieces of about so many.
+PIECE = 64
+#: A simulation still short of the asked recall after so many repetitions is an error.
+MOST_REPETITIONS = 1000
 PART_BYTES = 4_000_000
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -84,12 +89,12 @@ class Repetition:
     shift: np.uint64 = _U(0)
     seen: list[np.ndarray] = field(default_factory=list)  # after each sample, marks of what the items have noted so far
     notes: np.ndarray | None = None  # sorted; what the items have noted at the end
-    owner: np.ndarray | None = None  # the item of each
+    owner: np.ndarray | None = None  # the piece of each
 
 
 @dataclass
 class Group:
-    items: np.ndarray  # places in the part's list
+    items: np.ndarray  # places in the part's list of pieces
     repetitions: list[Repetition]
 
 
@@ -98,6 +103,10 @@ class Part:
     ids: list
     words: list[np.ndarray]
     allowed: np.ndarray
+    pieces: list[np.ndarray]
+    item: np.ndarray  # of each piece
+    offset: np.ndarray  # of each piece in its item
+    spare: np.ndarray  # edits allowed in each piece
     bags: np.ndarray
     groups: list[Group]
 
@@ -156,7 +165,9 @@ def _fit_group(items: list[np.ndarray], allowed: np.ndarray, rng: np.random.Gene
     own = np.concatenate([np.append(items[i], _U(0)) for i in picked])
     first = np.cumsum([0, *[len(items[i]) + 1 for i in picked[:-1]]])
     found, reps = np.zeros(len(picked), bool), []
-    while len(reps) < MOST_REPETITIONS and (found.mean() < recall or len(reps) < 2):
+    while found.mean() < recall or len(reps) < 2:
+        if len(reps) == MOST_REPETITIONS:
+            raise RuntimeError(f"simulated recall {found.mean():.3f} of {recall} for items of {min(len(w) for w in items)} words and more")
         rep = _repetition(rng, span)
         wanted = _walk(own, first, rep, marks=False)[1]
         noted = _walk(sym, at, rep, marks=False)[1]
@@ -176,16 +187,23 @@ def prepare(ids: list, texts: list[str], edits: float = EDITS, recall: float = T
             words.append(sym)
             kept.append(i)
     allowed = np.array([int(edits * len(w)) for w in words], np.int64)
-    bags = np.zeros((len(words), _BAG), bool)
+    pieces, item, offset = [], [], []
     for k, w in enumerate(words):
+        cuts = np.array_split(w, max(1, len(w) // PIECE)) if len(w) >= 2 * PIECE else [w]
+        pieces += cuts
+        item += [k] * len(cuts)
+        offset += np.cumsum([0, *[len(c) for c in cuts[:-1]]]).tolist()
+    spare = np.array([int(edits * len(w)) for w in pieces], np.int64)
+    bags = np.zeros((len(pieces), _BAG), bool)
+    for k, w in enumerate(pieces):
         bags[k, _pairs(w)[:-1]] = True
     rng, groups = np.random.default_rng(seed), []
-    size = np.array([len(w).bit_length() - 1 >> 1 for w in words])
+    size = np.array([len(w).bit_length() - 1 >> 1 for w in pieces])
     for g in np.unique(size):
         own = np.flatnonzero(size == g)
-        reps = _fit_group([words[k] for k in own], allowed[own], rng, recall)
-        flat = np.concatenate([np.append(words[k], _U(0)) for k in own])
-        first = np.cumsum([0, *[len(words[k]) + 1 for k in own[:-1]]])
+        reps = _fit_group([pieces[k] for k in own], spare[own], rng, recall)
+        flat = np.concatenate([np.append(pieces[k], _U(0)) for k in own])
+        first = np.cumsum([0, *[len(pieces[k]) + 1 for k in own[:-1]]])
         for rep in reps:
             note, pointer, k = np.zeros(len(own), np.uint64), first.astype(np.int64), 0
             for j in range(int(rep.steps[-1]) + 1):
@@ -203,11 +221,11 @@ def prepare(ids: list, texts: list[str], edits: float = EDITS, recall: float = T
             order = np.argsort(note, kind="stable")
             rep.notes, rep.owner = note[order], own[order]
         groups.append(Group(own, reps))
-    return Part(kept, words, allowed, bags, groups)
+    return Part(kept, words, allowed, pieces, np.array(item, np.int64), np.array(offset, np.int64), spare, bags, groups)
 
 
 def candidates(sym: np.ndarray, part: Part) -> tuple[np.ndarray, np.ndarray]:
-    """(place, item) of the windows that agree with an item in some repetition and have enough of its words around."""
+    """(place, piece) of the windows that agree with a piece in some repetition and have enough of its words around."""
     places = np.flatnonzero(sym)
     found = []
     for group in part.groups:
@@ -216,15 +234,15 @@ def candidates(sym: np.ndarray, part: Part) -> tuple[np.ndarray, np.ndarray]:
             lo, hi = np.searchsorted(rep.notes, note, "left"), np.searchsorted(rep.notes, note, "right")
             n = hi - lo
             nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            found.append(places[np.repeat(who, n)] * len(part.words) + rep.owner[np.repeat(lo, n) + nth])
+            found.append(places[np.repeat(who, n)] * len(part.pieces) + rep.owner[np.repeat(lo, n) + nth])
     packed = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    at, item = np.divmod(packed, len(part.words)) if len(packed) else (packed, packed)
+    at, piece = np.divmod(packed, len(part.pieces)) if len(packed) else (packed, packed)
     if not len(at):
-        return at, item
-    # An edit breaks two pairs of adjacent words at most, so the other pairs of the item stand in the text nearby.
-    sizes = np.array([len(w) for w in part.words])
-    need, span = (sizes - 1 - 2 * part.allowed)[item], (sizes + 2 * part.allowed)[item]
-    have, low = np.zeros(len(at), np.int64), at - part.allowed[item]
+        return at, piece
+    # An edit breaks two pairs of adjacent words at most, so the other pairs of the piece stand in the text nearby.
+    sizes = np.array([len(w) for w in part.pieces])
+    need, span = (sizes - 1 - 2 * part.spare)[piece], (sizes + 2 * part.spare)[piece]
+    have, low = np.zeros(len(at), np.int64), at - part.spare[piece]
     pair = _pairs(sym)
     live = np.arange(len(at))
     for o in range(int(span.max())):
@@ -232,9 +250,9 @@ def candidates(sym: np.ndarray, part: Part) -> tuple[np.ndarray, np.ndarray]:
         p = low[live] + o
         ok = (p >= 0) & (p < len(sym))
         who = live[ok]
-        have[who] += part.bags[item[who], pair[p[ok]]]
+        have[who] += part.bags[piece[who], pair[p[ok]]]
     keep = have >= need
-    return at[keep], item[keep]
+    return at[keep], piece[keep]
 
 
 def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -265,22 +283,25 @@ def search(raw: np.ndarray, offsets: np.ndarray, part: Part) -> list[tuple[int,
         sym, row, first, last = symbols(raw, offsets, a, b)
         if not len(sym):
             continue
-        at, item = candidates(sym, part)
+        where, piece = candidates(sym, part)
+        # Where the item would begin; a long one by what its pieces say, which edits before them may shift.
+        at, item = where - part.offset[piece], part.item[piece]
         limits = np.flatnonzero(sym == 0)
         done: dict[tuple[int, int], int] = {}
         order = np.lexsort((at, item))
-        for p, i in zip(at[order].tolist(), item[order].tolist(), strict=True):
-            r = int(row[p])
+        for p, i, seen in zip(at[order].tolist(), item[order].tolist(), where[order].tolist(), strict=True):
+            r = int(row[seen])
             k, words = int(part.allowed[i]), part.words[i]
             if p - done.get((r, i), -1 << 60) <= k:
                 continue
-            end = int(limits[np.searchsorted(limits, p)])
-            begin = int(limits[np.searchsorted(limits, p) - 1]) + 1 if np.searchsorted(limits, p) else 0
+            end = int(limits[np.searchsorted(limits, seen)])
+            begin = int(limits[np.searchsorted(limits, seen) - 1]) + 1 if np.searchsorted(limits, seen) else 0
             n = len(words)
-            if end - p >= n and np.array_equal(sym[p : p + n], words):
+            if p >= begin and end - p >= n and np.array_equal(sym[p : p + n], words):
                 edits, s, e = 0, p, p + n
             else:
-                lo, hi = max(begin, p - k), min(end, p + n + 2 * k)
+                far = 2 * k + 8 if n >= 2 * PIECE else 0
+                lo, hi = max(begin, p - k - far), min(end, p + n + 2 * k + far)
                 edits, s, e = edit_distance(words, sym[lo:hi])
                 s, e = s + lo, e + lo
             done[r, i] = p

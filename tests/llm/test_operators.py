@@ -294,6 +294,24 @@ def test_decontamination(spark):
     assert op6.remove_leaking(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_of_long_items():
+    rng = np.random.default_rng(12)
+    word = lambda: "".join("bcdfghlmnprstaeiou"[i] for i in rng.integers(0, 18, 8))
+    for size in (127, 128, 300, 1024):
+        items = [[word() for _ in range(size)] for _ in range(25)]
+        part = op6.prepare(list(range(25)), [" ".join(w) for w in items])
+        texts = []
+        for w in items:
+            out = list(w)
+            for _ in range(size // 5):
+                kind, i = int(rng.integers(3)), int(rng.integers(len(out)))
+                out[i : i + (kind < 2)] = [word()] if kind != 1 else []
+            texts.append(" ".join([word() for _ in range(30)] + out + [word() for _ in range(30)]))
+        raw, offsets, _ = utf8(pa.array(texts))
+        found = op6.search(raw, offsets, part)
+        assert all(r == i and e <= size // 5 for r, i, e, _, _ in found) and len(found) >= 24
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------------
 
 
