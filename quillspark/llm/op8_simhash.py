@@ -218,6 +218,9 @@ OVER, UNDER = 4, 5
 #: About so many texts are sampled for the order of shingles, and at most so many shingles are known as frequent.
 ORDER_SAMPLE = 20_000
 ORDER_SHINGLES = 200_000
+#: Bits of a set's mark, and bits that say which nodes a pass over the texts is for.
+MARK_BITS = 1024
+WANTED_BITS = 1 << 26
 _U = np.uint64
 
 
@@ -251,13 +254,14 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words_each: int = NEAR_WO
         yield a, b, np.bincount(rows, minlength=b - a), total
 
 
-def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray, np.ndarray] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
     """df with the text replaced by `node`, the hash of its shingle set, `n`, the set's size, and, as `what` says, the whole
-    `set` or the `prefix`: the n - ceil(n * OVER / UNDER) + 1 shingles that come first in the order of (frequency, hash)."""
+    `set`, the `prefix`: the n - ceil(n * OVER / UNDER) + 1 shingles that come first in the order of (frequency, hash), or
+    the `mark`: for each bit of it, whether an odd number of shingles fall on it. wanted: rows of other nodes may go."""
     at = df.columns.index(text)
-    shared = df.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None
+    shared = df.sparkSession.sparkContext.broadcast((frequent, wanted))
     rest = [f for f in df.schema.fields if f.name != text]
-    shape = T.StructType([*rest, T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *([T.StructField(what, T.ArrayType(T.LongType()))] if what else [])])
+    shape = T.StructType([*rest, T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField(what, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, at):
@@ -267,10 +271,22 @@ def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray,
                 node = np.zeros(b - a, np.uint64)
                 np.add.at(node, rows, mix64(flat ^ _U(0x5851F42D4C957F2D)))
                 node = mix64(node + sizes.astype(np.uint64))
-                kept = sizes
+                part, kept, chosen = batch.slice(a, b - a), sizes, shared.value[1]
+                if chosen is not None:
+                    stay = ((chosen[(node & _U(WANTED_BITS - 1)).astype(np.int64) >> 3] >> (node & _U(7)).astype(np.uint8)) & 1) > 0
+                    part, flat, node, sizes = part.filter(pa.array(stay)), flat[stay[rows]], node[stay], sizes[stay]
+                    kept, rows = sizes, np.repeat(np.arange(len(sizes)), sizes)
+                if what == "mark":
+                    mark, begin = np.zeros((len(sizes), MARK_BITS // 8), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+                    for i in range(0, len(sizes), 1024):  # a block may hold very many short texts
+                        j = min(i + 1024, len(sizes))
+                        own = slice(begin[i], begin[j])
+                        bits = np.bincount((rows[own] - i) * MARK_BITS + (flat[own] & _U(MARK_BITS - 1)).astype(np.int64), minlength=(j - i) * MARK_BITS)
+                        mark[i:j] = np.packbits((bits & 1).astype(np.uint8).reshape(j - i, MARK_BITS), axis=1)
+                    flat, kept = mark.view(np.uint64).ravel(), np.full(len(sizes), MARK_BITS // 64)
                 if what == "prefix":
                     common = np.zeros(len(flat), np.int64)
-                    known, seen = shared.value if shared is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                    known, seen = shared.value[0]
                     if len(known):
                         place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                         common = np.where(known[place] == flat, seen[place], 0)
@@ -278,10 +294,9 @@ def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray,
                     order = np.lexsort((flat, common, rows))
                     nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     flat = flat[order][nth < np.repeat(kept, sizes)]
-                columns = [c for k, c in enumerate(batch.slice(a, b - a).columns) if k != at]
+                columns = [c for k, c in enumerate(part.columns) if k != at]
                 columns += [pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64))]
-                if what:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(flat.view(np.int64))))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(flat.view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=shape.names)
 
     return df.mapInArrow(run, shape)
@@ -299,24 +314,38 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return known[order], np.asarray(top["c"]).astype(np.int64)[order]
 
 
-def similar(rows: DataFrame) -> DataFrame:
+def _wanted(nodes: DataFrame) -> np.ndarray:
+    """A table of WANTED_BITS bits, of fixed size, with those of the nodes set."""
+    place = nodes.select(F.col("node").bitwiseAND(F.lit(WANTED_BITS - 1)).alias("p"))
+    maps = place.groupBy(F.shiftright("p", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("m")).collect()
+    out = np.zeros((WANTED_BITS >> 15, 4096), np.uint8)
+    for r in maps:
+        out[r["k"]] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out.ravel()
+
+
+def similar(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of the texts `_t` whose components are those of all pairs of shingle sets with a
-    similarity of OVER / UNDER at least; every link is such a pair.
+    similarity of OVER / UNDER at least; every link is such a pair. marks: (node, n, mark), a row for each node.
 
-    Two such sets share a shingle of their prefixes in any common order, so no pair is lost; every candidate is verified
-    on its whole sets. Of each shingle, the first node is compared with the others in a first round, and in a second
+    Two such sets share a shingle of their prefixes in any common order, so no pair is lost. Bits in which two
+    marks differ are shingles in which the sets differ, so marks rule out candidates; the rest is verified on whole sets. Of each shingle, the first node is compared with the others in a first round, and in a second
     one all pairs that the first has not joined, so a group of near copies needs no square of its size.
     """
     prefixes = _with_sets(rows.select("_t"), "_t", "prefix", _frequent(rows))
     posted = prefixes.select("node", "n", F.explode("prefix").alias("x"))
     per = Window.partitionBy("x")
     live = staged(posted.withColumns({"first": F.min(F.struct("node", "n")).over(per), "last": F.max("node").over(per)}).where(F.col("first.node") != F.col("last")).drop("last").distinct())
-    wanted = live.select("node").distinct()
-    sets = staged(_with_sets(rows.select("_t"), "_t", "set").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
     near = lambda m, n: (F.least(m, n) * UNDER >= F.greatest(m, n) * OVER)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        own = lambda k: marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("mark").alias(f"m{k}"))
+        apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        left = staged(pairs.distinct().join(own("a"), "a").join(own("b"), "b").where(apart * (OVER + UNDER) <= (F.col("na") + F.col("nb")) * (UNDER - OVER)).select("a", "b"))
+        nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+        sets = _with_sets(rows.select("_t"), "_t", "set", wanted=_wanted(nodes)).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+        sets = staged(sets)
+        both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return staged(both.where(shared * (OVER + UNDER) >= (F.size("sa") + F.size("sb")) * OVER).select("a", "b"))
 
@@ -337,8 +366,9 @@ def similar(rows: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: the smallest key's; of its texts, the smallest hash's."""
     rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
-    named = staged(_with_sets(rows.select("_k", "_t", F.xxhash64("_t").alias("h1"), F.xxhash64(F.lit(1), "_t").alias("h2")), "_t", "").drop("n"))
-    roots = components(similar(rows)).withColumnRenamed("node", "at")
+    named = staged(_with_sets(rows.select("_k", "_t", F.xxhash64("_t").alias("h1"), F.xxhash64(F.lit(1), "_t").alias("h2")), "_t", "mark"))
+    marks = staged(named.groupBy("node").agg(F.first("n").alias("n"), F.first("mark").alias("mark")))
+    roots = components(similar(rows, marks)).withColumnRenamed("node", "at")
     low = F.min(F.struct(F.col("_k").alias("k"), "h1", "h2")).alias("s")
     lows = named.groupBy("node").agg(low)
     stay = staged(lows.join(roots, lows["node"] == roots["at"], "left").groupBy(F.coalesce("root", "node")).agg(F.min("s").alias("s")).select("s.*"))
