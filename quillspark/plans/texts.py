@@ -247,10 +247,14 @@ def copy_differences(read: Reader) -> DataFrame:
 
 @query("benchmark_containment", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_containment(read: Reader) -> DataFrame:
-    """Passages that a document holds word for word, joined on the hash of their first words rather than by comparing all."""
+    """Passages that a document holds word for word. Those of eight words or more are joined on the hash of their words 2
+    to 7, which are whole words of the document too; the first and the last may be cut. Shorter ones are compared with all."""
     n = 6
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    b = read("benchmark").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words("text"), 2, n), " ").alias("key"))
+    b = read("benchmark").select("item_id", F.col("text").alias("passage"), words("text").alias("p"))
+    long = b.where(F.size("p") >= n + 2).select("item_id", "passage", F.array_join(F.slice("p", 2, n), " ").alias("key"))
     d = read("documents").select("doc_id", "text", words("text").alias("w"))
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    return d.select("doc_id", "text", F.explode(keys).alias("key")).join(b, "key").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
+    found = d.select("doc_id", "text", F.explode(keys).alias("key")).join(long, "key").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    short = b.where(F.size("p") < n + 2).select("item_id", "passage")
+    return found.union(d.join(short, F.contains("text", F.col("passage"))).select("doc_id", "item_id")).distinct()

@@ -201,3 +201,13 @@ def test_query_against_sql(spark, name):
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith(("op", "pipeline"))])
 def test_query_runs(spark, name):
     assert entry.queries()[name](spark, SF).columns
+
+
+def test_benchmark_containment_of_short_and_cut_items(spark):
+    from quillspark.plans.texts import benchmark_containment
+
+    docs = {1: "zero one two three four five sixty seventy eight nine ten", 2: "a b", 3: "", 4: None, 5: "x  one two three four five six seven eight nine  y"}
+    items = {1: "one", 2: "two three four five six", 3: "one two three four five sixty seven", 4: " one two three four five six seven eight nine ", 5: "ero one two three four five sixty seventy ei", 6: "", 7: None, 8: "a b c"}
+    tables = {"documents": spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "benchmark": spark.createDataFrame(list(items.items()), "item_id long, text string")}
+    want = {(d, i) for d, t in docs.items() for i, x in items.items() if t is not None and x is not None and x in t}
+    assert {tuple(r) for r in benchmark_containment(lambda name: tables[name]).collect()} == want
