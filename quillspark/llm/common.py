@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own setting, or a temporary one where none is set (tests)."""
+    """The shared folder for checkpoints, as the session names it; without one, only a local master has a folder that all see."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -47,6 +50,17 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove staged tables that no later step reads, whole folders of this module's own naming only."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = ensure_checkpoint_dir(spark).rstrip("/")
+        for path in {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}:
+            if re.search(r"/table-[0-9a-f]{32}$", path) and path.split("/")[-2] == folder.split("/")[-1]:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of df has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -168,12 +168,54 @@ def test_sharding(spark):
     assert op3.shard(empty_docs(spark)).count() == 0
 
 
-def test_packing_places_by_dot_product():
-    sizes = np.array([[4.0, 1, 1], [1, 4, 1], [3, 1, 1], [1, 3, 1], [1, 1, 2], [2, 2, 1]])
-    where = op3.pack(sizes, 2)
-    load = np.zeros((2, 3))
-    np.add.at(load, where, sizes)
-    assert abs(load[0, 0] - load[1, 0]) <= 2 and len(op3.pack(np.empty((0, 3)), 2)) == 0
+def test_sharding_of_repeated_rows(spark):
+    rows = [(7, "x" * 100)] * 4000 + [(i, f"text {i} " + "y" * 90) for i in range(4000)]
+    got = op3.shard(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    sums, counts = got.groupby("shard")["size"].sum(), got.groupby("shard").size()
+    assert sums.max() - sums.min() < 0.02 * sums.mean() and counts.max() - counts.min() < 0.05 * counts.mean()
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_sharding_tears_no_group_that_fits(spark):
+    got = QUERIES["op3_sharding"](spark, "/root/testdata/sf0.01").groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n"), F.count("*").alias("rows")).where("rows > 1").collect()
+    assert len(got) > 30 and all(r["n"] == 1 for r in got)
+
+
+def brute_pack(sizes, shards):
+    """The dot-product rule, one item and one shard at a time; an item that fits nowhere goes where most bytes are left."""
+    cap = [sum(s[d] for s in sizes) / shards for d in range(len(sizes[0]))]
+    left, where = [[1.0] * len(cap) for _ in range(shards)], [None] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-max(x / c for x, c in zip(sizes[i], cap, strict=True)), i)):
+        own = [x / c for x, c in zip(sizes[i], cap, strict=True)]
+        best = None
+        for s in range(shards):
+            dot = sum(x * y for x, y in zip(own, left[s], strict=True))
+            if all(y >= x - 1e-12 for x, y in zip(own, left[s], strict=True)) and (best is None or dot > best[0] + 1e-12):
+                best = dot, s
+        if best is None:
+            best = 0, max(range(shards), key=lambda s: left[s][0])
+        where[i] = best[1]
+        left[best[1]] = [y - x for x, y in zip(own, left[best[1]], strict=True)]
+    return where
+
+
+def test_packing_places_by_dot_product(monkeypatch):
+    monkeypatch.setattr(op3, "level", lambda sizes, where, shards: where)
+    rng = np.random.default_rng(3)
+    for k in range(300):
+        shards = int(rng.integers(2, 5))
+        sizes = rng.uniform(1, 9, (int(rng.integers(1, 12)), 3))
+        if k % 3 == 0:  # small items besides, which fill the shards
+            sizes = np.concatenate((sizes, rng.uniform(0.1, 0.2, (100, 3))))
+        assert op3.pack(sizes, shards).tolist() == brute_pack(sizes.tolist(), shards)
+    assert len(op3.pack(np.empty((0, 3)), 2)) == 0
+
+
+def test_packing_keeps_groups_whole_where_they_fit():
+    sizes, group = np.ones((64, 3)), np.repeat([0, 1, 2, 3], [30, 6, 6, 22])
+    where = op3.pack(sizes, 4, group)
+    load = np.bincount(where, minlength=4)
+    assert load.tolist() == [16] * 4 and all(len(set(where[group == g])) == 1 for g in (1, 2)) and len(set(where[group == 0])) == 4
 
 
 # ---- 4 ------------------------------------------------------------------------------------------------------------
