@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
+        named = os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
@@ -167,8 +170,10 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.n
 
 
 def long_id(column: pa.Array) -> np.ndarray:
-    """A long column as int64, nulls as the smallest long."""
-    return np.asarray(column.fill_null(-(2**63)).cast(pa.int64()))
+    """A column of whole numbers as int64, nulls as the smallest long; other values by a hash of their text."""
+    if pa.types.is_integer(column.type):
+        return np.asarray(column.cast(pa.int64()).fill_null(-(2**63)))
+    return np.array([-(2**63) if x is None else xxhash.xxh64_intdigest(str(x)) - 2**63 for x in column.to_pylist()], np.int64)
 
 
 def typed(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:

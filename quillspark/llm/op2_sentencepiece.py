@@ -7,18 +7,22 @@ cluster, in any order and after any retry. A merge-rank vocabulary holds no prob
 weight (r + 10) ** -theta; a vocabulary of log-probabilities uses exp(theta * score). Characters without a
 piece fall back to their bytes.
 
-No piece of the vocabulary crosses from a word into the space after it, so the lattice falls apart at spaces, and one word's lattice serves all its occurrences; a worker keeps a bounded number of them. A run of
-over 512 characters without a space is cut each 512 characters. Lattices of many words are built, and many words
-sampled, in lockstep with array operations.
+No piece of the vocabulary crosses from a word into the space after it, so the lattice falls apart at spaces, and one
+word's lattice serves all its occurrences; a worker keeps a bounded number of them. Lattices of many words are built,
+and many words sampled, in lockstep with array operations. A long run without a space falls apart too, at the places
+that no piece crosses. What is left of thousands of characters is filtered forward in blocks that carry the last sums,
+and sampled backward in the same blocks, so no segmentation is lost anywhere and memory stays bounded.
 
 Spaces stand for the vocabulary's space mark and a text gets one in front, so decoding joins the bytes of the
 pieces and drops that space; a space mark that the text itself holds goes as bytes. Decoding returns the exact
-text. Defined results: a null text has null pieces, an empty one has none; a null key counts as a fixed key;
-repeated rows are encoded alike.
+text. Defined results: a null text has null pieces, an empty one has none; a null key counts as a fixed key, a key
+that is no whole number goes by a hash; repeated rows are encoded alike; a column that has the name of a result of
+`encode` or `decode` is replaced, `round_trip` takes names that are free.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,8 +39,13 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Ids from here on stand for a character that goes as bytes, until the pieces are laid out.
 CHARACTER = 1 << 24
-LONGEST_RUN = 512
-_SEGMENT = re.compile(rf" *[^ ]{{1,{LONGEST_RUN}}}| +")
+#: Runs of more characters are taken apart where no piece crosses, into segments of at least SHORT_RUN characters.
+LONG_RUN, SHORT_RUN = 512, 32
+#: Segments of more characters are not kept as lattices, but filtered and sampled in blocks of so many characters.
+LONG_SEGMENT, LONG_BLOCK = 4096, 16_384
+#: Characters whose lattices are built at once, and that are sampled at once.
+BUILT, SAMPLED = 200_000, 1 << 19
+_SEGMENT = re.compile(r" *[^ ]+| +")
 _U = np.uint64
 
 
@@ -118,6 +127,14 @@ def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
     return ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _utf8_bytes(code: np.ndarray) -> np.ndarray:
+    return 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+
+
 class _Index(dict):
     """Numbers words as they come; keeps the new ones."""
 
@@ -131,12 +148,9 @@ class _Index(dict):
         return n
 
 
-def segments(text: str) -> list[str]:
-    """Names of the runs that the lattice of a text falls apart into."""
-    words = text.split(" ")
-    if "" not in words and max(map(len, words)) <= LONGEST_RUN:
-        return words
-    return [w[1:] if w[0] == " " and len(w) > 1 and w[1] != " " else "  " + w for w in _SEGMENT.findall(" " + text)]
+def _name(run: str) -> str:
+    """The name of a run of text: a word's is its text without the space before it, another's two spaces and the run."""
+    return run[1:] if len(run) > 1 and run[0] == " " and " " not in run[1:2] else "  " + run
 
 
 class Lattices:
@@ -160,7 +174,9 @@ class Lattices:
             self.clear()
         found = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         new, self.index.new = self.index.new, []
-        parts = [self._build(new[a : a + 20_000]) for a in range(0, len(new), 20_000)]
+        upto = np.cumsum([len(w) for w in new]) // BUILT if new else np.empty(0, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(new)]
+        parts = [self._build(new[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         if parts:
             nodes, edges = len(self.first), len(self.upto)
             for p in parts:
@@ -196,18 +212,97 @@ class Lattices:
             found.append((at[done], np.full(int(done.sum()), k, np.int32), ends[done]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def segments(self, text: str) -> list[str]:
+        """Names of the runs that the lattice of a text falls apart into."""
+        words = text.split(" ")
+        if "" not in words and max(map(len, words)) <= LONG_RUN:
+            return words
+        out: list[str] = []
+        for run in _SEGMENT.findall(" " + text):
+            if len(run) <= LONG_RUN:
+                out.append(_name(run))
+            else:
+                cuts = self._cuts(run)
+                out += [_name(run[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def _cuts(self, run: str) -> list[int]:
+        """Places that no piece crosses, at least SHORT_RUN apart, with both ends of the run."""
+        v, n = self.v, len(run)
+        crossed = np.zeros(n + 1, np.int32)
+        for a in range(0, n, LONG_BLOCK):
+            code = _codes(run[a : a + LONG_BLOCK + v.longest])
+            at, length, _ = self._edges(v.symbol[code], len(code) - np.arange(len(code)))
+            own = (at < LONG_BLOCK) & (length > 1)
+            np.add.at(crossed, a + at[own] + 1, 1)
+            np.add.at(crossed, a + at[own] + length[own], -1)
+        out = [0]
+        for c in np.flatnonzero(np.cumsum(crossed) == 0).tolist():
+            if c - out[-1] >= SHORT_RUN and n - c >= SHORT_RUN:
+                out.append(c)
+        return [*out, n]
+
+    def _ending(self, run: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, length, piece, weight) of the edges that end in a + 1 to b, the longest first; first has b - a + 1 entries."""
+        v = self.v
+        lo = max(0, a - v.longest + 1)
+        code = _codes(run[lo:b])
+        symbol = v.symbol[code]
+        at, length, piece = self._edges(symbol, len(code) - np.arange(len(code)))
+        alone = np.flatnonzero(~v.single[symbol])
+        weight = np.concatenate((v.weight[piece], v.byte_weight * _utf8_bytes(code[alone])))
+        at, length, piece = np.concatenate((at, alone)), np.concatenate((length, np.ones(len(alone), np.int32))), np.concatenate((piece, CHARACTER + code[alone].astype(np.int64)))
+        end = lo + at + length
+        own = np.flatnonzero(end > a)
+        own = own[np.lexsort((-length[own], end[own]))]
+        return np.searchsorted(end[own], np.arange(a + 1, b + 2)), length[own], piece[own], weight[own]
+
+    def sample_long(self, run: str, seed: np.ndarray) -> np.ndarray:
+        """Pieces of one run, drawn as `sample` draws them; only a sum for each character is kept for all of it."""
+        n = len(run)
+        total = np.zeros(n + 1)
+        for a in range(0, n, LONG_BLOCK):
+            b = min(a + LONG_BLOCK, n)
+            first, length, _, weight = self._ending(run, a, b)
+            lo = max(0, a - self.v.longest)
+            sums, first, back, weight = total[lo : a + 1].tolist(), first.tolist(), length.tolist(), weight.tolist()
+            for e in range(b - a):
+                here = len(sums)
+                ways = [weight[k] + sums[here - back[k]] for k in range(first[e], first[e + 1])]
+                top = max(ways)
+                sums.append(top if len(ways) == 1 else top + math.log(sum(math.exp(w - top) for w in ways)))
+            total[a + 1 : b + 1] = sums[a + 1 - lo :]
+        out: list[int] = []
+        pos, b = n, n
+        while pos:
+            a = max(0, b - LONG_BLOCK)
+            first, length, piece, weight = self._ending(run, a, b)
+            places = np.arange(a + 1, b + 1)
+            share = np.exp(weight + total[np.repeat(places, np.diff(first)) - length] - np.repeat(total[places], np.diff(first)))
+            u = (mix64(seed + places.astype(_U) * _U(0xBF58476D1CE4E5B9)) >> _U(40)).astype(np.float64) * 2.0**-24
+            first, length, piece, share, u = first.tolist(), length.tolist(), piece.tolist(), share.tolist(), u.tolist()
+            while pos > a:
+                k, end, left = first[pos - a - 1], first[pos - a] - 1, u[pos - a - 1]
+                while k < end and share[k] <= left:
+                    left -= share[k]
+                    k += 1
+                out.append(piece[k])
+                pos -= length[k]
+            b = pos
+        return np.array(out[::-1], np.int32)
+
     def _build(self, names: list[str]) -> dict[str, np.ndarray]:
         v = self.v
         words = [w[2:] if w[:2] == "  " else " " + w for w in names]
         size = np.fromiter(map(len, words), np.int64, len(words))
         start = np.cumsum(size) - size
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = _codes("".join(words))
         n = len(code)
         symbol = v.symbol[code]
         place = np.arange(n) - np.repeat(start, size)
         at, length, piece = self._edges(symbol, np.repeat(size, size) - place)
         alone = np.flatnonzero(~v.single[symbol])
-        weight = np.concatenate((v.weight[piece], v.byte_weight * (1 + (code[alone] > 0x7F) + (code[alone] > 0x7FF) + (code[alone] > 0xFFFF))))
+        weight = np.concatenate((v.weight[piece], v.byte_weight * _utf8_bytes(code[alone])))
         at, length, piece = np.concatenate((at, alone)), np.concatenate((length, np.ones(len(alone), np.int32))), np.concatenate((piece, CHARACTER + code[alone].astype(np.int64)))
         node = at + length - 1
         order = np.argsort((place[node] << 40) | (node.astype(np.int64) << 8) | (255 - length))  # by place in the word, then node, the longest first
@@ -273,6 +368,26 @@ def lay_out(v: Vocabulary, pieces: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return out.astype(np.int32), ends[offsets]
 
 
+def _sampled(lattices: Lattices, words: list[str], row_key: np.ndarray, ordinal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of the words in order, and how many each word has; a bounded number of characters at a time."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    long = size > LONG_SEGMENT
+    turn = np.cumsum(size) // SAMPLED + 2 * len(words) * np.cumsum(long | np.concatenate(([False], long[:-1])))
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(words)]
+    pieces, counts = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b - a == 1 and long[a]:
+            seed = mix64(row_key[a:b].astype(_U) + ordinal[a:b].astype(_U) * _U(0x9E3779B97F4A7C15))
+            run = words[a][2:] if words[a][:2] == "  " else " " + words[a]
+            pieces.append(lattices.sample_long(run, seed))
+            counts.append(np.array([len(pieces[-1])]))
+        elif b > a:
+            found, n = lattices.sample(lattices.lookup(words[a:b]), row_key[a:b], ordinal[a:b])
+            pieces.append(found)
+            counts.append(n)
+    return np.concatenate(pieces), np.concatenate(counts)
+
+
 def encode_column(lattices: Lattices, text: pa.Array, keys: np.ndarray, seed: int) -> pa.Array:
     raw, offsets, valid = utf8(text)
     values, counts = [], np.zeros(len(valid), np.int64)
@@ -282,14 +397,14 @@ def encode_column(lattices: Lattices, text: pa.Array, keys: np.ndarray, seed: in
         per_row = np.zeros(b - a, np.int64)
         for r in range(a, b):
             if offsets[r + 1] > offsets[r]:
-                found = segments(raw[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "surrogatepass"))
+                found = lattices.segments(raw[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "surrogatepass"))
                 per_row[r - a] = len(found)
                 words += found
         if not words:
             continue
         first = np.cumsum(per_row) - per_row
         ordinal = np.arange(len(words)) - np.repeat(first, per_row)
-        pieces, n = lattices.sample(lattices.lookup(words), np.repeat(keyed[a:b], per_row), ordinal)
+        pieces, n = _sampled(lattices, words, np.repeat(keyed[a:b], per_row), ordinal)
         ends = np.concatenate(([0], np.cumsum(n)))
         bounds = ends[np.concatenate((first, [len(words)]))]
         pieces, bounds = lay_out(lattices.v, pieces, bounds)

@@ -135,7 +135,61 @@ def test_sampling_follows_the_lattice(lattices):
     assert sp.decode(ids[0]) == "that"
 
 
+def lattice_law(v, run):
+    """Share of each segmentation of a run, by enumeration over the vocabulary's own pieces."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=op2.MODEL_PATH)
+    pieces = {sp.id_to_piece(i).replace("▁", " "): i for i in range(sp.get_piece_size()) if not sp.is_byte(i) and not sp.is_control(i) and not sp.is_unknown(i)}
+
+    def ways(rest):
+        return [()] if not rest else [(pieces[rest[:k]], *w) for k in range(1, min(len(rest), v.longest) + 1) if rest[:k] in pieces for w in ways(rest[k:])]
+
+    weight = {w: math.exp(sum(v.weight[i] for i in w)) for w in ways(run)}
+    total = sum(weight.values())
+    return {w: x / total for w, x in weight.items()}
+
+
+def check_law(draws, law):
+    n, seen = len(draws), Counter(map(tuple, draws))
+    assert set(seen) <= set(law)
+    for w, p in law.items():
+        assert abs(seen[w] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
+def test_long_runs_by_enumeration(lattices, monkeypatch):
+    run = " thatthe"
+    law = lattice_law(lattices.v, run)
+    seeds = op2.mix64(np.arange(6000).astype(np.uint64))
+    for block in (3, 5, 1000):  # blocks that cut through pieces
+        monkeypatch.setattr(op2, "LONG_BLOCK", block)
+        check_law([lattices.sample_long(run, seeds[i : i + 1]).tolist() for i in range(len(seeds))], law)
+    # A run that is taken apart where no piece crosses has the same law as the whole.
+    run = " the日本that"
+    monkeypatch.setattr(op2, "LONG_RUN", 2)
+    monkeypatch.setattr(op2, "SHORT_RUN", 1)
+    fresh = op2.Lattices(lattices.v)
+    assert len(fresh.segments(run[1:])) > 1
+    n = 20_000
+    draws = op2.encode_column(fresh, pa.array([run[1:]] * n), np.arange(n), 7).to_pylist()
+    check_law(draws, lattice_law(lattices.v, run))
+
+
+def test_very_long_runs(lattices):
+    rng = np.random.default_rng(4)
+    base64 = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[i] for i in rng.integers(0, 64, 1_000_000))
+    texts = [base64, "a" * 300_000, " " * 100_000 + "x", "\n" * 50_000, "日本語の文章" * 50_000, "=" * 5000 + " " + "é▁" * 3000, "word " * 100_000]
+    for t in texts:
+        began = time.perf_counter()
+        ids = op2.encode_column(lattices, pa.array([t, t]), np.arange(2), 3)
+        assert op2.decode_column(lattices.v, ids).to_pylist() == [t, t] and time.perf_counter() - began < 60
+    assert ids.slice(1, 1).to_pylist()[0] == op2.encode_column(op2.Lattices(lattices.v), pa.array([t]), np.array([1]), 3).to_pylist()[0]
+
+
 def test_sentencepiece(spark):
+    text_keys = spark.createDataFrame([("a", "one two"), (None, "three"), ("a", "one two")], "doc_id string, text string")
+    got = [r["piece_ids"] for r in op2.round_trip(text_keys).orderBy(F.col("doc_id").desc()).collect()]
+    assert got[0] == got[1] and op2.round_trip(text_keys).where("NOT decoded_text <=> text").count() == 0
     odd = odd_docs(spark, True)
     made = op2.round_trip(odd)
     ids, back = made.columns[-2:]
