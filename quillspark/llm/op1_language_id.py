@@ -8,10 +8,12 @@ training the statistics are frozen, so the exact code length of a byte depends o
 of all languages are merged into one table (context, byte) -> bits for each language, and a text costs a few
 array look-ups a byte.
 
-Training takes a bounded sample (a documented parameter): up to `sample_docs` texts of at most `sample_bytes`
-bytes for each language, chosen by a hash of the key. Whole texts are scored.
+Training takes a bounded sample (documented parameters): up to `sample_docs` texts for each language, chosen by a hash
+of the key, and of a longer text a part of `sample_bytes` bytes from a place that the hash names; the `most_langs` most frequent
+languages are learned, `Model.langs` says which. The trees keep at most `max_contexts` contexts in all, those that some language holds
+the most often. Whole texts are scored, in blocks.
 
-Defined results: a text that is null, empty or without a letter gives `und` and score 0. Ties go to the first
+Very long texts cost no more a byte than short ones; columns with the results' names are replaced. Defined results: a text that is null, empty or without a letter gives `und` and score 0. Ties go to the first
 language in order. Without any labelled row every text is `und`. Rows are neither dropped nor merged.
 """
 
@@ -165,15 +167,15 @@ def judge(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     lang, score, rate = np.full(n, -1), np.zeros(n), np.zeros(n)
     if not n or not model.langs:
         return lang, score, rate
-    letter = np.zeros(256, np.int64)
-    letter[[*range(65, 91), *range(97, 123)]] = 1
+    letter = np.zeros(256, bool)
+    letter[[*range(65, 91), *range(97, 123)]] = True
     has = np.zeros(n, bool)
     filled = np.flatnonzero(size > 0)
     if len(filled):
         lo = int(offsets[0])
-        plain = np.add.reduceat(letter[raw[lo : int(offsets[-1])]], offsets[:-1][filled] - lo)
-        has[filled] = plain > 0
-        for i in filled[plain == 0]:
+        plain = np.logical_or.reduceat(letter[raw[lo : int(offsets[-1])]], offsets[:-1][filled] - lo)
+        has[filled] = plain
+        for i in filled[~plain]:
             has[i] = bool(_LETTER.search(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
     cost = code_lengths(model, raw, offsets)
     best = cost.argmin(axis=1)
@@ -184,25 +186,29 @@ def judge(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     return lang, score, rate
 
 
-def sample_texts(docs: DataFrame, keep: F.Column, sample_docs: int = 300, sample_bytes: int = 16_384, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:
-    """Up to sample_docs texts of each language among the rows that `keep` holds for, by the order of a hash of the key.
+def sample_texts(docs: DataFrame, keep: F.Column, sample_docs: int = 300, sample_bytes: int = 16_384, most_langs: int = 400, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:
+    """Up to sample_docs texts of each language among the rows that `keep` holds for, by the order of a hash of the key; of a
+    longer text, a part of about sample_bytes bytes.
 
     A first pass counts each language, a second one takes rows whose hash is below a threshold set by that count,
     so no more than about 1.5 * sample_docs texts of a language reach the driver, at any size of input.
     """
-    rows = docs.where(keep & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("g"))
-    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    t = F.col(text).cast("string")
+    rows = docs.where(keep & F.col(lang).isNotNull() & t.rlike(r"\p{L}")).select(F.col(key).alias("k"), t.alias("t"), F.col(lang).alias("g"))
+    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(most_langs).collect()}
     if not counts:
         return {}
     slots = 1 << 24
     hashed = F.pmod(F.xxhash64("k"), F.lit(slots))
-    bound = F.element_at(F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(slots, 1 + int(slots * 1.5 * (sample_docs + 20) / n)))]), F.col("g"))
-    found = rows.where((hashed < bound) & F.col("t").isNotNull() & (F.octet_length("t") <= sample_bytes) & F.col("t").rlike(r"\p{L}")).select("g", "t", F.xxhash64("k").alias("h")).collect()
+    bound = F.try_element_at(F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(slots, 1 + int(slots * 1.5 * (sample_docs + 20) / n)))]), F.col("g"))
+    spare = F.greatest(F.length("t") - sample_bytes, F.lit(0))
+    part = F.when(F.octet_length("t") <= sample_bytes, F.col("t")).otherwise(F.substring("t", (F.pmod(F.xxhash64("k", F.lit(5)), spare + 1) + 1).cast("int"), F.lit(sample_bytes)))
+    found = rows.where(hashed < bound).select("g", part.alias("t"), F.xxhash64("k").alias("h")).collect()
     out: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r["g"], r["h"], r["t"])):
         texts = out.setdefault(r["g"], [])
         if len(texts) < sample_docs:
-            texts.append(r["t"].encode())
+            texts.append(r["t"].encode()[:sample_bytes])
     return out
 
 

@@ -11,7 +11,9 @@ is rendered for each participant. Mask spans count code points of their chunk.
 
 Defined results: a null text is empty, a null role is the participant `unknown`, null turn numbers come first, null
 dialogue keys are one dialogue; equal rows are one turn; a dialogue with system turns only has no rendering. Control
-marks within texts are broken by a backslash.
+marks within texts and roles are broken by a backslash, and line ends within roles are written as a backslash and a
+letter, so neither can open a turn. The output is turns times participants, as the method asks: a dialogue in which
+each turn has a speaker of its own grows with the square of its turns. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +29,14 @@ CHUNK_TURNS = 256
 CHUNK_ROWS = 1024
 
 
+def _unmarked(c: Column) -> Column:
+    return F.replace(c, F.lit("<|"), F.lit("<\\|"))
+
+
 def _render(turn: Column, speaker: Column) -> Column:
     """(text, size before the learned part, size of the learned part) of a turn as the speaker's rendering has it."""
-    head = F.when(turn["role"] == SYSTEM, F.lit("<|im_start|>system\n")).when(turn["role"] == speaker, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), turn["role"], F.lit("\n")))
+    name = F.replace(F.replace(_unmarked(turn["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    head = F.when(turn["role"] == SYSTEM, F.lit("<|im_start|>system\n")).when(turn["role"] == speaker, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), name, F.lit("\n")))
     body = F.concat(turn["text"], F.lit("<|im_end|>"))
     learned = F.when((turn["role"] == speaker) & (turn["role"] != SYSTEM), F.length(body)).otherwise(0)
     return F.struct(F.concat(head, body, F.lit("\n")).alias("text"), F.length(head).alias("lead"), learned.alias("learned"))
@@ -37,7 +44,7 @@ def _render(turn: Column, speaker: Column) -> Column:
 
 def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_turns: int = CHUNK_TURNS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row for each dialogue, participant and chunk: conv, speaker, chunk, n_turns, rendering, mask (array of start, end)."""
-    safe = F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    safe = _unmarked(F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = df.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), safe.alias("text")).distinct()
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("block", F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(-(2**62))))
     counts = rows.groupBy("conv", "block").agg(F.count("*").alias("n"))
@@ -52,8 +59,8 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     number = Window.partitionBy("conv").orderBy("place")
     numbered = pieces.select("conv", "place").distinct().withColumn("chunk", F.row_number().over(number) - 1)
     chunks = chunks.join(numbered.select(F.col("conv").alias("nc"), F.col("place").alias("np"), "chunk"), chunks["conv"].eqNullSafe(F.col("nc")) & chunks["place"].eqNullSafe(F.col("np"))).drop("nc", "np")
-    speakers = rows.where(F.col("role") != SYSTEM).groupBy(F.col("conv").alias("sc")).agg(F.sort_array(F.collect_set("role")).alias("speakers"))
-    each = chunks.join(speakers, chunks["conv"].eqNullSafe(speakers["sc"])).select("conv", "chunk", "turns", F.explode("speakers").alias("speaker"))
+    speakers = rows.where(F.col("role") != SYSTEM).select(F.col("conv").alias("sc"), F.col("role").alias("speaker")).distinct()
+    each = chunks.join(speakers, chunks["conv"].eqNullSafe(speakers["sc"])).select("conv", "chunk", "turns", "speaker")
     made = each.withColumn("made", F.transform("turns", lambda t: _render(t, F.col("speaker"))))
     sizes = made.withColumn("sizes", F.transform("made", lambda m: F.length(m["text"])))
     spans = F.filter(
@@ -80,7 +87,7 @@ WITH rows AS (
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM rows WHERE role <> 'system'),
 made AS (
   SELECT r.conv_id, speaker, turn, role,
-    CASE WHEN role = 'system' THEN '<|im_start|>system' || chr(10) WHEN role = speaker THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || role || chr(10) END AS head,
+    CASE WHEN role = 'system' THEN '<|im_start|>system' || chr(10) WHEN role = speaker THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || replace(replace(replace(role, '<|', '<\|'), chr(10), '\n'), chr(13), '\r') || chr(10) END AS head,
     t || '<|im_end|>' AS body
   FROM rows r JOIN speakers s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
 ),

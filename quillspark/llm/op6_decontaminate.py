@@ -15,11 +15,13 @@ group gets is found by simulation on its own items, edited at the threshold, for
 and more are cut into pieces of 64 words or a little more, as a walk of a long item seldom agrees: of an item with a fifth
 of its words edited some piece has a fifth at most, so a piece brings the item to the exact check.
 
-The items are the stated query set. They go to the executors in parts of at most `part_bytes` of text, one pass over
-the texts each. Documents are neither shuffled nor collected.
+The items are the stated query set. They go to the executors in parts of at most `part_bytes` of text and `part_items` items,
+so that a part's tables (some 64 bytes of marks for each item, sample and repetition, and the items' words) stay in the
+tens of megabytes; each part is a pass over the texts. Documents are neither shuffled nor collected.
 
 Defined results: null or wordless texts and items match nothing; equal items each match; repeated rows each come
-back; a document has one row for each item it holds: the place of the fewest edits, the first of equals.
+back; a document has one row for each item it holds: the place of the fewest edits, the first of equals. Very long
+texts are read whole, block by block and a longer text in a block of its own; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, row_words, small, table, utf8, word_hashes
+from .common import blocks, mix64, row_words, small, table, utf8, word_hashes
 
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.2
@@ -43,12 +45,11 @@ SAMPLED = 3
 PIECE = 64
 #: A simulation still short of the asked recall after so many repetitions is an error.
 MOST_REPETITIONS = 1000
-PART_BYTES = 4_000_000
+PART_BYTES, PART_ITEMS = 4_000_000, 4096
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BAG = 1 << 13
 _U = np.uint64
 
 
@@ -77,9 +78,9 @@ def symbols(raw: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.nd
 
 
 def _pairs(sym: np.ndarray) -> np.ndarray:
-    """A small hash of each word with the next one."""
+    """A hash of each word with the next one, in 40 bits."""
     after = np.append(sym[1:], _U(0))
-    return ((sym * _U(0x9E3779B97F4A7C15) + after * _U(0xC2B2AE3D27D4EB4F)) >> _U(64 - _BAG.bit_length() + 1)).astype(np.int64)
+    return (mix64(sym * _U(0x9E3779B97F4A7C15) + after * _U(0xC2B2AE3D27D4EB4F)) >> _U(24)).astype(np.int64)
 
 
 @dataclass
@@ -107,7 +108,7 @@ class Part:
     item: np.ndarray  # of each piece
     offset: np.ndarray  # of each piece in its item
     spare: np.ndarray  # edits allowed in each piece
-    bags: np.ndarray
+    pairs: np.ndarray  # sorted: place of the piece and hash of two words that follow each other in it
     groups: list[Group]
 
 
@@ -194,9 +195,7 @@ def prepare(ids: list, texts: list[str], edits: float = EDITS, recall: float = T
         item += [k] * len(cuts)
         offset += np.cumsum([0, *[len(c) for c in cuts[:-1]]]).tolist()
     spare = np.array([int(edits * len(w)) for w in pieces], np.int64)
-    bags = np.zeros((len(pieces), _BAG), bool)
-    for k, w in enumerate(pieces):
-        bags[k, _pairs(w)[:-1]] = True
+    pairs = np.unique(np.concatenate([(k << 40) + _pairs(w)[:-1] for k, w in enumerate(pieces)])) if pieces else np.empty(0, np.int64)
     rng, groups = np.random.default_rng(seed), []
     size = np.array([len(w).bit_length() - 1 >> 1 for w in pieces])
     for g in np.unique(size):
@@ -221,7 +220,7 @@ def prepare(ids: list, texts: list[str], edits: float = EDITS, recall: float = T
             order = np.argsort(note, kind="stable")
             rep.notes, rep.owner = note[order], own[order]
         groups.append(Group(own, reps))
-    return Part(kept, words, allowed, pieces, np.array(item, np.int64), np.array(offset, np.int64), spare, bags, groups)
+    return Part(kept, words, allowed, pieces, np.array(item, np.int64), np.array(offset, np.int64), spare, pairs, groups)
 
 
 def candidates(sym: np.ndarray, part: Part) -> tuple[np.ndarray, np.ndarray]:
@@ -241,6 +240,8 @@ def candidates(sym: np.ndarray, part: Part) -> tuple[np.ndarray, np.ndarray]:
         return at, piece
     # An edit breaks two pairs of adjacent words at most, so the other pairs of the piece stand in the text nearby.
     sizes = np.array([len(w) for w in part.pieces])
+    if not len(part.pairs):  # items of one word
+        return at, piece
     need, span = (sizes - 1 - 2 * part.spare)[piece], (sizes + 2 * part.spare)[piece]
     have, low = np.zeros(len(at), np.int64), at - part.spare[piece]
     pair = _pairs(sym)
@@ -250,7 +251,8 @@ def candidates(sym: np.ndarray, part: Part) -> tuple[np.ndarray, np.ndarray]:
         p = low[live] + o
         ok = (p >= 0) & (p < len(sym))
         who = live[ok]
-        have[who] += part.bags[piece[who], pair[p[ok]]]
+        wanted = (piece[who] << 40) + pair[p[ok]]
+        have[who] += part.pairs[np.minimum(np.searchsorted(part.pairs, wanted), len(part.pairs) - 1)] == wanted
     keep = have >= need
     return at[keep], piece[keep]
 
@@ -311,11 +313,11 @@ def search(raw: np.ndarray, offsets: np.ndarray, part: Part) -> list[tuple[int,
     return [(r, i, *x) for (r, i), x in sorted(place.items())]
 
 
-def parts(benchmark: DataFrame, key: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES) -> Iterator[tuple[list, list[str]]]:
+def parts(benchmark: DataFrame, key: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES, part_items: int = PART_ITEMS) -> Iterator[tuple[list, list[str]]]:
     """The items in parts of bounded size."""
     own = benchmark.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
-    total = own.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
-    n = 1 + total // part_bytes
+    total, count = own.agg(F.sum(F.octet_length("t").cast("long")), F.count("*")).first()
+    n = 1 + max((total or 0) // part_bytes, count // part_items)
     for p in range(n):
         rows = (own if n == 1 else own.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == p)).collect()
         rows.sort(key=lambda r: (str(r["k"]), r["t"]))

@@ -13,8 +13,9 @@ A tile returns a spanning forest of its links, not all of them, so what a group
 size. Components come from repeated contraction.
 
 Near-duplicates of a lower similarity differ in too many of 64 bits to be told from chance. The pipeline's stage
-therefore takes the sets of five-word shingles themselves (`similar`): candidates from prefix filtering, which loses no
-pair, and each one verified by the exact similarity, 0.8 at least.
+(`one_of_each`) links texts whose sets of five-word shingles have a similarity of 0.8. It takes the fingerprints' candidates
+first, finds the pairs that they miss by prefix filtering, which loses none (`similar`), and verifies every candidate by the
+exact similarity.
 
 Defined results: a text that is null or has no word has fingerprint zero and is linked like any other; with fewer
 words than a shingle, the whole sequence is the shingle. component_id is the smallest key reachable, null if all
@@ -24,6 +25,7 @@ keys there are null. Repeated rows all come back.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh_name, mix64, row_words, small, staged, table, typed, utf8, word_hashes
+from .common import blocks, dropped, fresh_name, mix64, row_words, small, staged, table, typed, utf8, word_hashes
 from .components import components, with_smallest
 
 #: First bit and number of bits of each block.
@@ -168,10 +170,8 @@ def compare(prints: np.ndarray, node: np.ndarray, home: np.ndarray, threshold: i
     return nodes[at], nodes[root]
 
 
-def links(distinct: DataFrame, threshold: int = 4, prints: int = 1) -> DataFrame:
-    """Links (a, b) between nodes with prints f0, f1 ... (each node once) that join those of at most `threshold` differing
-    bits in all, and no others. With one print and a threshold up to 5 none is missed; otherwise those that differ in
-    more than one bit of every block are."""
+def replicated(distinct: DataFrame, prints: int = 1) -> DataFrame:
+    """A staged row for each anchor that a node with the prints f0, f1 ... (each node once) reaches: anchor, home, node, prints."""
     names = _names(prints)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,14 @@ def links(distinct: DataFrame, threshold: int = 4, prints: int = 1) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array((anchor + k * (len(BLOCKS) << 24)).astype(np.int32)), pa.array(home), *[c.take(rows) for c in part.columns]], names=["anchor", "home", "node", *names])
 
     shape = ", ".join(f"{n} long" for n in ["node", *names])
-    rows = staged(distinct.select("node", *names).mapInArrow(spread, f"anchor int, home boolean, {shape}"))
+    return staged(distinct.select("node", *names).mapInArrow(spread, f"anchor int, home boolean, {shape}"))
+
+
+def links(rows: DataFrame, threshold: int = 4, prints: int = 1) -> DataFrame:
+    """Links (a, b) between replicated nodes that join those of at most `threshold` differing bits in all, and no others.
+    With one print and a threshold up to 5 none is missed; otherwise those that differ in more than one bit of every
+    block are."""
+    names = _names(prints)
     sizes = rows.groupBy("anchor").agg(F.ceil(F.count_if("home") / TILE[0]).cast("int").alias("nh"), F.ceil(F.count("*") / TILE[1]).cast("int").alias("nr"))
     sizes = sizes.where("nh > 0")  # anchors are at most 3 * 4096 for each print, whatever the input
     salt = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20))
@@ -206,7 +213,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     made = with_fingerprint(own, words_each, prints, "_t").select("_k", F.xxhash64("_t").alias("h1"), F.xxhash64(F.lit(1), "_t").alias("h2"), *names, (F.col("f0") if prints == 1 else F.xxhash64(*names)).alias("node"))
     rows = staged(made)
     groups = staged(rows.groupBy("node").agg(F.min("_k").alias("low"), *[F.any_value(n).alias(n) for n in names]))
-    roots = components(links(groups, threshold, prints))
+    replicas = replicated(groups, prints)
+    roots = components(links(replicas, threshold, prints))
+    dropped(replicas)
     rooted = groups.join(roots.withColumnRenamed("node", "at"), groups["node"] == F.col("at"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = with_smallest(rooted, "low", "component_id").select("node", "root", "component_id")
     return rows.join(named, "node").select(F.col("_k").alias(key), "h1", "h2", *names, "root", "component_id")
@@ -218,6 +227,8 @@ OVER, UNDER = 4, 5
 #: About so many texts are sampled for the order of shingles, and at most so many shingles are known as frequent.
 ORDER_SAMPLE = 20_000
 ORDER_SHINGLES = 200_000
+#: Shingles in so large a share of the sampled texts are dealt over so many tasks.
+HOT_SHARE, SALTS = 0.01, 32
 #: Bits of a set's mark, and bits that say which nodes a pass over the texts is for.
 MARK_BITS = 1024
 WANTED_BITS = 1 << 26
@@ -254,16 +265,30 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words_each: int = NEAR_WO
         yield a, b, np.bincount(rows, minlength=b - a), total
 
 
+def set_prints(sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Fingerprints, as signed longs, of sets of so many hashes each: a bit is 1 if it is in over half of them."""
+    out = np.zeros(len(sizes), np.uint64)
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[filled], axis=0, dtype=np.int32)
+        out[filled] = np.packbits(ones * 2 > sizes[filled][:, None], axis=1).view(">u8").ravel()
+    return out.view(np.int64)
+
+
 def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray, np.ndarray] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
     """df with the text replaced by `node`, the hash of its shingle set, `n`, the set's size, and, as `what` says, the whole
-    `set`, the `prefix`: the n - ceil(n * OVER / UNDER) + 1 shingles that come first in the order of (frequency, hash), or
-    the `mark`: for each bit of it, whether an odd number of shingles fall on it. wanted: rows of other nodes may go."""
+    `set`, the `prefix`: the n - ceil(n * OVER / UNDER) + 1 shingles that come first in the order of (frequency, hash), or the `mark`: for each bit of it, whether an odd number of shingles fall on it, with the
+    set's fingerprint as `f0`.
+    Sets and prefixes come once for each node and task; wanted: rows of other nodes may go."""
     at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast((frequent, wanted))
     rest = [f for f in df.schema.fields if f.name != text]
-    shape = T.StructType([*rest, T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField(what, T.ArrayType(T.LongType()))])
+    shape = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in ("node", "n", "f0")], T.StructField(what, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = shared.value[0] if shared.value[0] is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        chosen, done = shared.value[1], set()
         for batch in small(batches, at):
             raw, offsets, _ = utf8(batch.column(at))
             for a, b, sizes, flat in shingle_sets(raw, offsets):
@@ -271,11 +296,18 @@ def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray,
                 node = np.zeros(b - a, np.uint64)
                 np.add.at(node, rows, mix64(flat ^ _U(0x5851F42D4C957F2D)))
                 node = mix64(node + sizes.astype(np.uint64))
-                part, kept, chosen = batch.slice(a, b - a), sizes, shared.value[1]
-                if chosen is not None:
-                    stay = ((chosen[(node & _U(WANTED_BITS - 1)).astype(np.int64) >> 3] >> (node & _U(7)).astype(np.uint8)) & 1) > 0
-                    part, flat, node, sizes = part.filter(pa.array(stay)), flat[stay[rows]], node[stay], sizes[stay]
-                    kept, rows = sizes, np.repeat(np.arange(len(sizes)), sizes)
+                part, prints = batch.slice(a, b - a), np.zeros(b - a, np.int64)
+                if what != "mark":
+                    stay = np.zeros(len(node), bool)
+                    if chosen is not None:
+                        stay |= ((chosen[(node & _U(WANTED_BITS - 1)).astype(np.int64) >> 3] >> (node & _U(7)).astype(np.uint8)) & 1) == 0
+                    for i in np.flatnonzero(~stay).tolist():
+                        stay[i] = (v := int(node[i])) in done
+                        done.add(v)
+                    stay = ~stay
+                    part, flat, node, sizes, prints = part.filter(pa.array(stay)), flat[stay[rows]], node[stay], sizes[stay], prints[stay]
+                    rows = np.repeat(np.arange(len(sizes)), sizes)
+                kept = sizes
                 if what == "mark":
                     mark, begin = np.zeros((len(sizes), MARK_BITS // 8), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
                     for i in range(0, len(sizes), 1024):  # a block may hold very many short texts
@@ -283,10 +315,10 @@ def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray,
                         own = slice(begin[i], begin[j])
                         bits = np.bincount((rows[own] - i) * MARK_BITS + (flat[own] & _U(MARK_BITS - 1)).astype(np.int64), minlength=(j - i) * MARK_BITS)
                         mark[i:j] = np.packbits((bits & 1).astype(np.uint8).reshape(j - i, MARK_BITS), axis=1)
+                    prints = set_prints(sizes, flat)
                     flat, kept = mark.view(np.uint64).ravel(), np.full(len(sizes), MARK_BITS // 64)
                 if what == "prefix":
                     common = np.zeros(len(flat), np.int64)
-                    known, seen = shared.value[0]
                     if len(known):
                         place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                         common = np.where(known[place] == flat, seen[place], 0)
@@ -295,23 +327,23 @@ def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray,
                     nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     flat = flat[order][nth < np.repeat(kept, sizes)]
                 columns = [c for k, c in enumerate(part.columns) if k != at]
-                columns += [pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64))]
+                columns += [pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(prints)]
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(flat.view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=shape.names)
 
     return df.mapInArrow(run, shape)
 
 
-def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, texts) of the most frequent shingles of a sample, in ascending order of the shingle. Any order of shingles
-    gives the same links; this one keeps shingles of many texts out of the prefixes."""
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(shingle, texts) of the most frequent shingles of a sample, in ascending order of the shingle, and the sample's number
+    of texts. Any order of shingles gives the same links; this one keeps shingles of many texts out of the prefixes."""
     nodes = rows.count()
     step = max(1, nodes // ORDER_SAMPLE)
-    some = _with_sets(rows.where(F.pmod(F.xxhash64("_t", F.lit(3)), F.lit(step)) == 0).select("_t").distinct(), "_t", "set")
+    some = _with_sets(rows.where(F.pmod(F.xxhash64("_t", F.lit(3)), F.lit(step)) == 0).select("_t").distinct(), "_t", "set").dropDuplicates(["node"])
     top = some.select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "x").limit(ORDER_SHINGLES).toArrow()
     known = np.asarray(top["x"]).astype(np.int64).view(np.uint64)
     order = np.argsort(known)
-    return known[order], np.asarray(top["c"]).astype(np.int64)[order]
+    return known[order], np.asarray(top["c"]).astype(np.int64)[order], max(1, nodes // step)
 
 
 def _wanted(nodes: DataFrame) -> np.ndarray:
@@ -324,50 +356,90 @@ def _wanted(nodes: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _attached(pairs: DataFrame, own: DataFrame, node: str, other: str, how: str = "inner") -> DataFrame:
+    """pairs with the columns that own has for the node. A node of very many pairs is looked up by `SALTS` tasks."""
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    each = salted.select(node, "_salt").distinct().join(own, node, how)
+    return salted.join(each, [node, "_salt"]).drop("_salt")
+
+
 def similar(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of the texts `_t` whose components are those of all pairs of shingle sets with a
-    similarity of OVER / UNDER at least; every link is such a pair. marks: (node, n, mark), a row for each node.
+    similarity of OVER / UNDER at least; every link is such a pair. marks: (node, n, f0, mark), a row for each node.
+
+    Candidates come first from the fingerprints f0, by anchor-point covering. They bring the nearest copies together, but
+    two sets of similarity 0.8 differ in 10 of 64 bits, as many texts do that have little in common. So the others come from the sets
+    themselves. The shared part of two such sets makes up OVER / (OVER + UNDER) of both sizes together at least. So they share a
+    shingle of their prefixes in any common order, and a set whose first shared shingle has `pos` others before it, n - pos being
+    the most it can share from there on, meets sets up to a size of `most` only. No pair is lost by that.
 
-    Two such sets share a shingle of their prefixes in any common order, so no pair is lost. Bits in which two
-    marks differ are shingles in which the sets differ, so marks rule out candidates; the rest is verified on whole sets. Of each shingle, the first node is compared with the others in a first round, and in a second
-    one all pairs that the first has not joined, so a group of near copies needs no square of its size.
+    Of the sets under a shingle that have the most frequent size there, the one that shares most of its prefix (in a group of
+    near copies, the text they come from) is compared with the others. Then pairs that are not joined yet are
+    compared, by size: the larger set asks those of the sizes that it can meet. So a group of near copies needs no square of its
+    size. Shingles that a sample finds in many texts are dealt by a salt where rows of a shingle are compared in place.
+
+    Bits in which two marks differ are shingles in which the sets differ, so marks rule out candidates; the rest is
+    verified on whole sets.
     """
-    prefixes = _with_sets(rows.select("_t"), "_t", "prefix", _frequent(rows))
-    posted = prefixes.select("node", "n", F.explode("prefix").alias("x"))
-    per = Window.partitionBy("x")
-    live = staged(posted.withColumns({"first": F.min(F.struct("node", "n")).over(per), "last": F.max("node").over(per)}).where(F.col("first.node") != F.col("last")).drop("last").distinct())
-    near = lambda m, n: (F.least(m, n) * UNDER >= F.greatest(m, n) * OVER)
+    meets = lambda a, b: (F.least(a["n"], b["n"]) * UNDER >= F.greatest(a["n"], b["n"]) * OVER) & (a["n"] <= b["most"]) & (b["n"] <= a["most"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         own = lambda k: marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("mark").alias(f"m{k}"))
         apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        left = staged(pairs.distinct().join(own("a"), "a").join(own("b"), "b").where(apart * (OVER + UNDER) <= (F.col("na") + F.col("nb")) * (UNDER - OVER)).select("a", "b"))
+        both = _attached(_attached(pairs.distinct(), own("a"), "a", "b"), own("b"), "b", "a")
+        left = staged(both.where(apart * (OVER + UNDER) <= (F.col("na") + F.col("nb")) * (UNDER - OVER)).select("a", "b"))
         nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
         sets = _with_sets(rows.select("_t"), "_t", "set", wanted=_wanted(nodes)).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
         sets = staged(sets)
-        both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        both = _attached(_attached(left, sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a", "b"), sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b", "a")
         shared = F.size(F.array_intersect("sa", "sb"))
-        return staged(both.where(shared * (OVER + UNDER) >= (F.size("sa") + F.size("sb")) * OVER).select("a", "b"))
-
-    star = verified(live.where((F.col("first.node") != F.col("node")) & near(F.col("first.n"), F.col("n"))).select(F.col("first.node").alias("a"), F.col("node").alias("b")))
+        found = staged(both.where(shared * (OVER + UNDER) >= (F.size("sa") + F.size("sb")) * OVER).select("a", "b"))
+        dropped(left, sets)
+        return found
+
+    replicas = replicated(marks.select("node", "f0"))
+    alike = verified(links(replicas))
+    dropped(replicas)
+    nearest = components(alike)
+    known, seen, sampled = _frequent(rows)
+    spark = rows.sparkSession
+    prefixes = _with_sets(rows.select("_t"), "_t", "prefix", (known, seen))
+    posted = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "x"))
+    hot = known[seen >= max(HOT_SHARE * sampled, 3)].view(np.int64).tolist()  # of 1 / HOT_SHARE texts at most
+    hot = spark.createDataFrame([(x, True) for x in hot], "x long, hot boolean")
+    posted = posted.join(F.broadcast(hot), "x", "left").select("x", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS)) + 1).otherwise(0).cast("int").alias("s"), "node", F.expr("n * 2147483648L + pos").alias("at"))
+    per = Window.partitionBy("x", "s")
+    live = posted.withColumns({"low": F.min("node").over(per), "high": F.max("node").over(per)}).where("s > 0 OR low <> high").select("x", "node", F.expr("at div 2147483648L").alias("n"), F.expr("at % 2147483648L").alias("pos"))
+    live = staged(live.select("x", "node", "n", F.expr(f"(n - pos) * {OVER + UNDER} div {OVER} - n").alias("most")).distinct())
+    shared = live.groupBy("node").agg(F.count("*").alias("rank"))
+    ranked = live.join(shared, "node")
+    best = ranked.groupBy("x", "n").agg(F.count("*").alias("alike"), F.max(F.struct("rank", "node", "most")).alias("m"))
+    best = best.groupBy("x").agg(F.max(F.struct("alike", "m", "n")).alias("b")).select("x", F.struct("b.m.node", "b.n", "b.m.most").alias("centre"))
+    star = live.join(best, "x").where((F.col("centre.node") != F.col("node")) & meets(F.col("centre"), F.struct("n", "most"))).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+    of = lambda k: nearest.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
+    star = _attached(_attached(star, of("a"), "a", "b", "left"), of("b"), "b", "a", "left").where(~F.col("ra").eqNullSafe(F.col("rb")) | F.col("ra").isNull())
+    star = alike.union(verified(star.select("a", "b")))
     roots = components(star)
-    rooted = live.join(roots, "node", "left").select("x", "node", "n", F.coalesce("root", "node").alias("root"))
-    # Only pairs of two roots are left: those of a shingle with one root go, and of the others one end is outside the
-    # largest root, so that root meets the others but not itself.
-    counted = rooted.withColumn("c", F.count("*").over(Window.partitionBy("x", "root")))
-    mixed = counted.withColumns({"main": F.max(F.struct("c", "root")).over(per)["root"], "low": F.min("root").over(per), "high": F.max("root").over(per)})
-    mixed = staged(mixed.where("low <> high").select("x", "node", "n", "root", "main"))
-    one, two = (mixed.select("x", *[F.col(c).alias(c + k) for c in ("node", "n", "root", "main")]) for k in "12")
-    cross = one.where("root1 <> main1").join(two, "x").where((F.col("root1") != F.col("root2")) & near(F.col("n1"), F.col("n2")))
-    cross = cross.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
-    return star.union(verified(cross))
+    rooted = live.join(roots, "node", "left").select("x", "node", "n", "most", F.coalesce("root", "node").alias("root"))
+    # Only pairs of two roots are left: those of a shingle with one root go, and the largest root meets the others but not itself.
+    mains = rooted.groupBy("x", "root").agg(F.count("*").alias("c")).groupBy("x").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = staged(rooted.join(mains.drop("roots"), "x").distinct())
+    bucket = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.05)).cast("int")
+    least = F.expr(f"(n * {OVER} + {UNDER - 1}) div {UNDER}")
+    asks = mixed.withColumns({"low": least, "high": F.least("n", "most")}).where("low <= high").withColumn("main", F.col("root") == F.col("main"))
+    asks = asks.select("x", "main", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))).alias("bucket"), F.struct("node", "n", "most", "root").alias("p"))
+    index = mixed.where("most >= n").select("x", F.explode(F.when(F.col("root") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("main"), bucket(F.col("n")).alias("bucket"), F.struct("node", "n", "most", "root").alias("q"))
+    cross = asks.join(index, ["x", "main", "bucket"]).where((F.col("p.root") != F.col("q.root")) & (F.col("q.n") <= F.col("p.n")) & meets(F.col("p"), F.col("q")))
+    found = star.union(verified(cross.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))))
+    dropped(live, mixed)
+    return found
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: the smallest key's; of its texts, the smallest hash's."""
     rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
     named = staged(_with_sets(rows.select("_k", "_t", F.xxhash64("_t").alias("h1"), F.xxhash64(F.lit(1), "_t").alias("h2")), "_t", "mark"))
-    marks = staged(named.groupBy("node").agg(F.first("n").alias("n"), F.first("mark").alias("mark")))
+    marks = staged(named.groupBy("node").agg(F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("mark").alias("mark")))
     roots = components(similar(rows, marks)).withColumnRenamed("node", "at")
     low = F.min(F.struct(F.col("_k").alias("k"), "h1", "h2")).alias("s")
     lows = named.groupBy("node").agg(low)
@@ -378,7 +450,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     stay = stay.select(*[F.col(n).alias(names[n]) for n in names])
     kept = own.join(stay.hint("shuffle_hash"), F.col(key).eqNullSafe(stay[names["k"]]) & (own[names["h1"]] == stay[names["h1"]]) & (own[names["h2"]] == stay[names["h2"]]))
     kept = kept.select(*[own[c] for c in own.columns])
-    if not again.isEmpty():  # rows of one key and text: one of them stays
+    repeated = not again.isEmpty()
+    dropped(named, marks)
+    if repeated:  # rows of one key and text: one of them stays
         kept = kept.dropDuplicates([key, names["h1"], names["h2"]])
     return kept.select(*docs.columns)
 
