@@ -229,6 +229,8 @@ ORDER_SAMPLE = 20_000
 ORDER_SHINGLES = 200_000
 #: Shingles in so large a share of the sampled texts are dealt over so many tasks.
 HOT_SHARE, SALTS = 0.01, 32
+#: Sets that a task compares with one.
+COMPARED = 64
 #: Bits of a set's mark, and bits that say which nodes a pass over the texts is for.
 MARK_BITS = 1024
 WANTED_BITS = 1 << 26
@@ -356,6 +358,22 @@ def _wanted(nodes: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _compared(t: pa.Table) -> pa.Table:
+    """(a, b) of the rows b whose sets have the similarity with that of the row a. A node may come more than once."""
+    a, node, sets = t["a"][0].as_py(), t["node"].to_numpy(), t["set"].combine_chunks()
+    sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+    flat, ends = np.asarray(sets.flatten()), np.concatenate(([0], np.cumsum(np.asarray(sets.value_lengths()))))
+    nodes, first = np.unique(node, return_index=True)
+    of = lambda i: flat[ends[i] : ends[i + 1]]
+    own = of(int(first[np.searchsorted(nodes, a)]))
+    near = []
+    for b, i in zip(nodes.tolist(), first.tolist(), strict=True):
+        other = of(i)
+        if b != a and len(np.intersect1d(own, other, assume_unique=True)) * (OVER + UNDER) >= (len(own) + len(other)) * OVER:
+            near.append(b)
+    return pa.table({"a": pa.array([a] * len(near), pa.int64()), "b": pa.array(near, pa.int64())})
+
+
 def _attached(pairs: DataFrame, own: DataFrame, node: str, other: str, how: str = "inner") -> DataFrame:
     """pairs with the columns that own has for the node. A node of very many pairs is looked up by `SALTS` tasks."""
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
@@ -388,13 +406,13 @@ def similar(rows: DataFrame, marks: DataFrame) -> DataFrame:
         apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         both = _attached(_attached(pairs.distinct(), own("a"), "a", "b"), own("b"), "b", "a")
         left = staged(both.where(apart * (OVER + UNDER) <= (F.col("na") + F.col("nb")) * (UNDER - OVER)).select("a", "b"))
-        nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        sets = _with_sets(rows.select("_t"), "_t", "set", wanted=_wanted(nodes)).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-        sets = staged(sets)
-        both = _attached(_attached(left, sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a", "b"), sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b", "a")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        found = staged(both.where(shared * (OVER + UNDER) >= (F.size("sa") + F.size("sb")) * OVER).select("a", "b"))
-        dropped(left, sets)
+        # Each set goes to the tasks of its pairs: those of `a`, by a salt if there are very many.
+        many = staged(left.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).cast("int").alias("tasks")).where("tasks > 1"))
+        dealt = left.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("tasks", F.lit(1)).cast("long")).cast("int").alias("t"))
+        wanted = staged(dealt.select("a", "t", F.col("b").alias("node")).union(dealt.select("a", "t", F.col("a").alias("node")).distinct()))
+        sets = _with_sets(rows.select("_t"), "_t", "set", wanted=_wanted(wanted)).select("node", "set").join(wanted, "node")
+        found = staged(sets.groupBy("a", "t").applyInArrow(_compared, "a long, b long").distinct())
+        dropped(left, many, wanted)
         return found
 
     replicas = replicated(marks.select("node", "f0"))
