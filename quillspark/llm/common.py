@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a vectorised kernel works on at once; its temporaries are a few dozen times this.
 BLOCK_BYTES = 1 << 19
+#: Bytes of an Arrow batch that goes to a worker.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +66,15 @@ def dropped(*tables: DataFrame) -> None:
                 place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of a few MB in this session: the default of 64 MB stands once in the JVM and once in the worker
+    of every task. A session that has another bound keeps it."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name, None) in (None, "64MB", str(64 << 20)):
+        conf.set(name, str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of df has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, long_id, mix64, row_words, small, staged, table, utf8, word_hashes
+from .common import blocks, in_arrow, long_id, mix64, row_words, small, staged, table, utf8, word_hashes
 
 WINDOW = 35
 ANCHOR = 12
@@ -103,7 +103,7 @@ def facts(rows: DataFrame, window: int, anchor: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(count), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["_k", "h1", "h2", "n_words", "digest", "anchors"])
 
     kind = rows.schema["_k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_k {kind}, h1 long, h2 long, n_words long, digest binary, anchors array<long>")
+    return in_arrow(rows, run, f"_k {kind}, h1 long, h2 long, n_words long, digest binary, anchors array<long>")
 
 
 def _intervals(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def suffixes(candidates: DataFrame, n_groups: int, window: int, anchor: int) ->
                     pa.array(np.concatenate((np.ones(heads, np.int64), length)).astype(np.int32)), pa.array(np.where(np.arange(n) < heads, np.append(np.minimum(weight, 2), np.zeros(len(place), np.int64)), 0).astype(np.int8)),
                 ], names=["g", "p1", "p2", "h1", "h2", "start", "length", "weight"])
 
-    return candidates.mapInArrow(run, "g int, p1 long, p2 long, h1 long, h2 long, start long, length int, weight byte")
+    return in_arrow(candidates, run, "g int, p1 long, p2 long, h1 long, h2 long, start long, length int, weight byte")
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
         for batch, gone, kept in _without(batches, window):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone), pa.array([hashlib.sha256(k).digest() for k in kept], pa.binary()), pa.array([k.decode() if kept_text else None for k in kept], pa.string())], names=["h1", "h2", "gone", "left", "kept_text"])
 
-    changed = single.select("h1", "h2", "_t", "places").mapInArrow(reduce, "h1 long, h2 long, gone long, left binary, kept_text string").dropDuplicates(["h1", "h2"])
+    changed = in_arrow(single.select("h1", "h2", "_t", "places"), reduce, "h1 long, h2 long, gone long, left binary, kept_text string").dropDuplicates(["h1", "h2"])
     whole = texts.where("copies > 1").select("h1", "h2", F.lit(-1).cast("long").alias("gone"), F.unhex(F.sha2(F.lit(""), 256)).alias("left"), F.lit("").alias("kept_text"))
     found = known.drop("anchors").join(changed.unionByName(whole), ["h1", "h2"], "left")
     out = found.select(F.col("_k").alias(key), "n_words", F.when(F.col("gone") == -1, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0).cast("long"))).alias("n_removed"), F.coalesce("left", "digest").alias("kept_sha256"), "kept_text")

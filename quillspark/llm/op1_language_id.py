@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, fresh_name, small, table, typed, utf8
+from .common import BLOCK_BYTES, fresh_name, in_arrow, small, table, typed, utf8
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -237,7 +237,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str,
             lang, score, rate = judge(m, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes[lang], pa.string()), pa.array(score), pa.array(rate)], names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, fresh_name, long_id, mix64, small, table, typed, utf8
+from .common import blocks, fresh_name, in_arrow, long_id, mix64, small, table, typed, utf8
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -469,7 +469,7 @@ def encode(df: DataFrame, path: str = MODEL_PATH, theta: float = 1.0, seed: int
         for batch in small(batches, at):
             yield pa.RecordBatch.from_arrays([*batch.columns, encode_column(lattices, batch.column(at), long_id(batch.column(at_key)), seed)], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, typed(df, (out, T.ArrayType(T.IntegerType()))))
+    return in_arrow(df, run, typed(df, (out, T.ArrayType(T.IntegerType()))))
 
 
 def decode(df: DataFrame, path: str = MODEL_PATH, pieces: str = "piece_ids", out: str = "decoded_text") -> DataFrame:
@@ -482,7 +482,7 @@ def decode(df: DataFrame, path: str = MODEL_PATH, pieces: str = "piece_ids", out
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, decode_column(shared.value, batch.column(at))], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, typed(df, (out, T.StringType())))
+    return in_arrow(df, run, typed(df, (out, T.StringType())))
 
 
 def round_trip(docs: DataFrame, path: str = MODEL_PATH, theta: float = 1.0, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -497,7 +497,7 @@ def round_trip(docs: DataFrame, path: str = MODEL_PATH, theta: float = 1.0, seed
             pieces = encode_column(lattices, batch.column(at), long_id(batch.column(at_key)), seed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pieces, decode_column(lattices.v, pieces)], names=[*batch.schema.names, ids, back])
 
-    return docs.mapInArrow(run, typed(docs, (ids, T.ArrayType(T.IntegerType())), (back, T.StringType())))
+    return in_arrow(docs, run, typed(docs, (ids, T.ArrayType(T.IntegerType())), (back, T.StringType())))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix64, row_words, small, table, utf8, word_hashes
+from .common import blocks, in_arrow, mix64, row_words, small, table, utf8, word_hashes
 
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.2
@@ -350,7 +350,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                         pa.array([len(part.words[x[1]]) for x in found], pa.int64()), pa.array([chars(x[0], x[3]) for x in found], pa.int64()), pa.array([chars(x[0], x[4]) for x in found], pa.int64()),
                     ], names=[key, item_key, "edits", "item_words", "start", "end"])
 
-        found = rows.mapInArrow(run, schema)
+        found = in_arrow(rows, run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -369,7 +369,7 @@ def remove_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", **
                 hit[[x[0] for x in search(raw, offsets, shared.value)]] = True
                 yield batch.filter(pa.array(~hit))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = in_arrow(kept, run, docs.schema)
     return kept
 
 

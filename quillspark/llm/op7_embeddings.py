@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import in_arrow, staged, table
 from .components import components, with_smallest
 
 THRESHOLD = 0.93
@@ -256,7 +256,7 @@ def to_balls(rows: DataFrame, angle: float) -> DataFrame:
                 ], names=["_r", "_k", "label", "dim", "lid", "v", "centre", "radius", "size"])
                 base += len(count)
 
-    return rows.mapInArrow(run, f"_r long, _k {kind}, label {label}, dim int, lid long, v array<double>, centre array<double>, radius double, size long")
+    return in_arrow(rows, run, f"_r long, _k {kind}, label {label}, dim int, lid long, v array<double>, centre array<double>, radius double, size long")
 
 
 def fit_centres(leaders: DataFrame, sample: int, most: int) -> dict[tuple, np.ndarray]:
@@ -302,7 +302,7 @@ def near_pairs(leaders: DataFrame, centres: dict, angle: float, overlap: int, pr
                 ], names=["label", "dim", "lid", "centre", "radius", "size", "c", "node"])
 
     shape = f"label {label}, dim int, lid long, centre array<double>, radius double, size long, c int, node boolean"
-    rows = staged(leaders.select("label", "dim", "lid", "centre", "radius", "size").mapInArrow(assign, shape))
+    rows = staged(in_arrow(leaders.select("label", "dim", "lid", "centre", "radius", "size"), assign, shape))
     parts = rows.where("node").groupBy("label", "dim", "c").agg(F.ceil(F.count("*") / shard_nodes).cast("int").alias("parts"))  # a row for each centre, of which there are few
     rows = rows.join(F.broadcast(parts), ["label", "dim", "c"])
     part = F.pmod(F.xxhash64("lid", F.lit(5)), F.col("parts").cast("long")).cast("int")
@@ -376,7 +376,7 @@ def audit(leaders: DataFrame, pairs: DataFrame, angle: float, audited: int = AUD
                 i, j = np.nonzero((theta <= angle + radius[:, None] + reach[None, :] - 1e-7) & (lid[:, None] != ids[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(lid[i], ids[j])), pa.array(np.maximum(lid[i], ids[j]))], names=["a", "b"])
 
-    true = leaders.select("label", "dim", "lid", "centre", "radius").mapInArrow(run, "a long, b long").distinct()
+    true = in_arrow(leaders.select("label", "dim", "lid", "centre", "radius"), run, "a long, b long").distinct()
     seen = true.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
     return seen["hit"] / seen["n"] if seen["n"] else 1.0
 

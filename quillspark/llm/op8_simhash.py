@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, dropped, fresh_name, mix64, row_words, small, staged, table, typed, utf8, word_hashes
+from .common import blocks, dropped, fresh_name, in_arrow, mix64, row_words, small, staged, table, typed, utf8, word_hashes
 from .components import components, with_smallest
 
 #: First bit and number of bits of each block.
@@ -94,7 +94,7 @@ def with_fingerprint(df: DataFrame, words_each: int = 4, prints: int = 1, text:
             made = fingerprints(raw, offsets, words_each, prints)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(made[:, k]) for k in range(prints)]], names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(run, typed(df, *[(n, T.LongType()) for n in names]))
+    return in_arrow(df, run, typed(df, *[(n, T.LongType()) for n in names]))
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def replicated(distinct: DataFrame, prints: int = 1) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array((anchor + k * (len(BLOCKS) << 24)).astype(np.int32)), pa.array(home), *[c.take(rows) for c in part.columns]], names=["anchor", "home", "node", *names])
 
     shape = ", ".join(f"{n} long" for n in ["node", *names])
-    return staged(distinct.select("node", *names).mapInArrow(spread, f"anchor int, home boolean, {shape}"))
+    return staged(in_arrow(distinct.select("node", *names), spread, f"anchor int, home boolean, {shape}"))
 
 
 def links(rows: DataFrame, threshold: int = 4, prints: int = 1) -> DataFrame:
@@ -333,7 +333,7 @@ def _with_sets(df: DataFrame, text: str, what: str, frequent: tuple[np.ndarray,
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(flat.view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=shape.names)
 
-    return df.mapInArrow(run, shape)
+    return in_arrow(df, run, shape)
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -374,10 +374,10 @@ def _compared(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a] * len(near), pa.int64()), "b": pa.array(near, pa.int64())})
 
 
-def _attached(pairs: DataFrame, own: DataFrame, node: str, other: str, how: str = "inner") -> DataFrame:
+def _attached(pairs: DataFrame, own: DataFrame, node: str, other: str) -> DataFrame:
     """pairs with the columns that own has for the node. A node of very many pairs is looked up by `SALTS` tasks."""
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-    each = salted.select(node, "_salt").distinct().join(own, node, how)
+    each = salted.select(node, "_salt").distinct().join(own, node)
     return salted.join(each, [node, "_salt"]).drop("_salt")
 
 
@@ -385,14 +385,14 @@ def similar(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of the texts `_t` whose components are those of all pairs of shingle sets with a
     similarity of OVER / UNDER at least; every link is such a pair. marks: (node, n, f0, mark), a row for each node.
 
-    Candidates come first from the fingerprints f0, by anchor-point covering. They bring the nearest copies together, but
-    two sets of similarity 0.8 differ in 10 of 64 bits, as many texts do that have little in common. So the others come from the sets
+    Candidates come from the fingerprints f0, by anchor-point covering. They bring the nearest copies together, but
+    two sets of similarity 0.8 differ in some 10 of 64 bits, too many to look for. So the others come from the sets
     themselves. The shared part of two such sets makes up OVER / (OVER + UNDER) of both sizes together at least. So they share a
     shingle of their prefixes in any common order, and a set whose first shared shingle has `pos` others before it, n - pos being
     the most it can share from there on, meets sets up to a size of `most` only. No pair is lost by that.
 
     Of the sets under a shingle that have the most frequent size there, the one that shares most of its prefix (in a group of
-    near copies, the text they come from) is compared with the others. Then pairs that are not joined yet are
+    near copies, the text they come from) is compared with the others, along with the fingerprints' candidates. Then pairs that are not joined yet are
     compared, by size: the larger set asks those of the sizes that it can meet. So a group of near copies needs no square of its
     size. Shingles that a sample finds in many texts are dealt by a salt where rows of a shingle are compared in place.
 
@@ -415,10 +415,6 @@ def similar(rows: DataFrame, marks: DataFrame) -> DataFrame:
         dropped(left, many, wanted)
         return found
 
-    replicas = replicated(marks.select("node", "f0"))
-    alike = verified(links(replicas))
-    dropped(replicas)
-    nearest = components(alike)
     known, seen, sampled = _frequent(rows)
     spark = rows.sparkSession
     prefixes = _with_sets(rows.select("_t"), "_t", "prefix", (known, seen))
@@ -434,9 +430,9 @@ def similar(rows: DataFrame, marks: DataFrame) -> DataFrame:
     best = ranked.groupBy("x", "n").agg(F.count("*").alias("alike"), F.max(F.struct("rank", "node", "most")).alias("m"))
     best = best.groupBy("x").agg(F.max(F.struct("alike", "m", "n")).alias("b")).select("x", F.struct("b.m.node", "b.n", "b.m.most").alias("centre"))
     star = live.join(best, "x").where((F.col("centre.node") != F.col("node")) & meets(F.col("centre"), F.struct("n", "most"))).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
-    of = lambda k: nearest.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
-    star = _attached(_attached(star, of("a"), "a", "b", "left"), of("b"), "b", "a", "left").where(~F.col("ra").eqNullSafe(F.col("rb")) | F.col("ra").isNull())
-    star = alike.union(verified(star.select("a", "b")))
+    replicas = replicated(marks.select("node", "f0"))
+    star = verified(links(replicas).union(star))
+    dropped(replicas)
     roots = components(star)
     rooted = live.join(roots, "node", "left").select("x", "node", "n", "most", F.coalesce("root", "node").alias("root"))
     # Only pairs of two roots are left: those of a shingle with one root go, and the largest root meets the others but not itself.

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, table, typed
+from .common import in_arrow, small, table, typed
 
 INLINE = frozenset((
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img picture source center "
@@ -442,7 +442,7 @@ def extract(df: DataFrame, weights: Weights, html: str = "html", out: str = "tex
                 texts += ["\n\n".join(kept) for kept in keep(trees, shared.value)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, typed(df, (out, T.StringType())))
+    return in_arrow(df, run, typed(df, (out, T.StringType())))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
