@@ -388,8 +388,8 @@ def similar(rows: DataFrame, marks: DataFrame) -> DataFrame:
     Candidates come from the fingerprints f0, by anchor-point covering. They bring the nearest copies together, but
     two sets of similarity 0.8 differ in some 10 of 64 bits, too many to look for. So the others come from the sets
     themselves. The shared part of two such sets makes up OVER / (OVER + UNDER) of both sizes together at least. So they share a
-    shingle of their prefixes in any common order, and a set whose first shared shingle has `pos` others before it, n - pos being
-    the most it can share from there on, meets sets up to a size of `most` only. No pair is lost by that.
+    shingle of their prefixes in any common order. What stands before the first shared one counts for nothing, so from the rest
+    follows up to which size, `most`, a set can meet others by a shingle. No pair is lost by that.
 
     Of the sets under a shingle that have the most frequent size there, the one that shares most of its prefix (in a group of
     near copies, the text they come from) is compared with the others, along with the fingerprints' candidates. Then pairs that are not joined yet are
@@ -399,7 +399,7 @@ def similar(rows: DataFrame, marks: DataFrame) -> DataFrame:
     Bits in which two marks differ are shingles in which the sets differ, so marks rule out candidates; the rest is
     verified on whole sets.
     """
-    meets = lambda a, b: (F.least(a["n"], b["n"]) * UNDER >= F.greatest(a["n"], b["n"]) * OVER) & (a["n"] <= b["most"]) & (b["n"] <= a["most"])
+    meets = lambda a, b: (F.least(a["n"], b["n"]) * UNDER >= F.greatest(a["n"], b["n"]) * OVER) & (a["n"] <= b["most"]) & (b["n"] <= a["most"]) & ((a["n"] <= b["tight"]) | (b["n"] <= a["tight"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         own = lambda k: marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("mark").alias(f"m{k}"))
@@ -423,29 +423,40 @@ def similar(rows: DataFrame, marks: DataFrame) -> DataFrame:
     hot = spark.createDataFrame([(x, True) for x in hot], "x long, hot boolean")
     posted = posted.join(F.broadcast(hot), "x", "left").select("x", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS)) + 1).otherwise(0).cast("int").alias("s"), "node", F.expr("n * 2147483648L + pos").alias("at"))
     per = Window.partitionBy("x", "s")
-    live = posted.withColumns({"low": F.min("node").over(per), "high": F.max("node").over(per)}).where("s > 0 OR low <> high").select("x", "node", F.expr("at div 2147483648L").alias("n"), F.expr("at % 2147483648L").alias("pos"))
-    live = staged(live.select("x", "node", "n", F.expr(f"(n - pos) * {OVER + UNDER} div {OVER} - n").alias("most")).distinct())
-    shared = live.groupBy("node").agg(F.count("*").alias("rank"))
-    ranked = live.join(shared, "node")
-    best = ranked.groupBy("x", "n").agg(F.count("*").alias("alike"), F.max(F.struct("rank", "node", "most")).alias("m"))
-    best = best.groupBy("x").agg(F.max(F.struct("alike", "m", "n")).alias("b")).select("x", F.struct("b.m.node", "b.n", "b.m.most").alias("centre"))
-    star = live.join(best, "x").where((F.col("centre.node") != F.col("node")) & meets(F.col("centre"), F.struct("n", "most"))).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+    # Shingles of the same sets, as those of a passage are, get one name and go on as one.
+    live = posted.withColumns({"low": F.min("node").over(per), "high": F.max("node").over(per), "sets": F.xxhash64(F.bit_xor(F.xxhash64("node")).over(per), F.sum(F.shiftright(F.xxhash64("node"), 24)).over(per), F.count("*").over(per))})
+    live = live.where("s > 0 OR low <> high").select("x", F.when(F.col("s") > 0, F.col("x")).otherwise(F.col("sets")).alias("sets"), "node", F.expr("at div 2147483648L").alias("n"), F.expr("at % 2147483648L").alias("pos"))
+    live = staged(live.distinct())
+    # After the first shared shingle, what no other prefix has counts for nothing in one of the two sets at least: a shingle
+    # of the one prefix that stands outside the other one comes after all of that, so those that the other has are seen.
+    own = Window.partitionBy("node")
+    bound = lambda most: F.expr(f"({most}) * {OVER + UNDER} div {OVER} - n")
+    ranked = live.withColumns({"after": F.row_number().over(own.orderBy(F.desc("pos"))) - 1, "before": F.lead("sets").over(own.orderBy(F.desc("pos"))), "rank": F.count("*").over(own)})
+    ranked = ranked.select(F.col("sets").alias("x"), "node", "n", "rank", "pos", "before", bound("n - pos").alias("most"), bound(f"(n * {OVER} + {UNDER - 1}) div {UNDER} + after").alias("tight"))
+    ranked = staged(ranked.groupBy("x", "node", "n").agg(F.max("rank").alias("rank"), F.max("most").alias("most"), F.max("tight").alias("tight"), F.min_by("before", "pos").alias("before")))
+    dropped(live)
+    live = ranked.drop("rank")
+    best = ranked.groupBy("x", "n").agg(F.count("*").alias("alike"), F.max(F.struct("rank", "node", "most", "tight")).alias("m"))
+    best = best.groupBy("x").agg(F.max(F.struct("alike", "m", "n")).alias("b")).select("x", F.struct("b.m.node", "b.n", "b.m.most", "b.m.tight").alias("centre"))
+    star = live.join(best, "x").where((F.col("centre.node") != F.col("node")) & meets(F.col("centre"), F.struct("n", "most", "tight"))).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
     replicas = replicated(marks.select("node", "f0"))
     star = verified(links(replicas).union(star))
     dropped(replicas)
     roots = components(star)
-    rooted = live.join(roots, "node", "left").select("x", "node", "n", "most", F.coalesce("root", "node").alias("root"))
+    rooted = live.join(roots, "node", "left").select("x", "node", "n", "most", "tight", "before", F.coalesce("root", "node").alias("root"))
     # Only pairs of two roots are left: those of a shingle with one root go, and the largest root meets the others but not itself.
     mains = rooted.groupBy("x", "root").agg(F.count("*").alias("c")).groupBy("x").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
     mixed = staged(rooted.join(mains.drop("roots"), "x").distinct())
     bucket = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.05)).cast("int")
     least = F.expr(f"(n * {OVER} + {UNDER - 1}) div {UNDER}")
     asks = mixed.withColumns({"low": least, "high": F.least("n", "most")}).where("low <= high").withColumn("main", F.col("root") == F.col("main"))
-    asks = asks.select("x", "main", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))).alias("bucket"), F.struct("node", "n", "most", "root").alias("p"))
-    index = mixed.where("most >= n").select("x", F.explode(F.when(F.col("root") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("main"), bucket(F.col("n")).alias("bucket"), F.struct("node", "n", "most", "root").alias("q"))
-    cross = asks.join(index, ["x", "main", "bucket"]).where((F.col("p.root") != F.col("q.root")) & (F.col("q.n") <= F.col("p.n")) & meets(F.col("p"), F.col("q")))
+    asks = asks.select("x", "main", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))).alias("bucket"), F.struct("node", "n", "most", "tight", "before", "root").alias("p"))
+    index = mixed.where("most >= n").select("x", F.explode(F.when(F.col("root") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("main"), bucket(F.col("n")).alias("bucket"), F.struct("node", "n", "most", "tight", "before", "root").alias("q"))
+    # With the same shared shingle before it, one is not the first that the two share.
+    first = F.coalesce(F.col("p.before") != F.col("q.before"), F.lit(True))
+    cross = asks.join(index, ["x", "main", "bucket"]).where((F.col("p.root") != F.col("q.root")) & first & (F.col("q.n") <= F.col("p.n")) & meets(F.col("p"), F.col("q")))
     found = star.union(verified(cross.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))))
-    dropped(live, mixed)
+    dropped(ranked, mixed)
     return found
 
 
