@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Marks dropped by folding: vowel marks, maddah and hamza marks, superscript alef, quranic annotation, tatweel.
 MARKS = "[\u064b-\u0652\u0653-\u0655\u0670\u06d6-\u06ed\u0640]"
 #: Letters that folding takes for the same one.
-FOLDED_FROM, FOLDED_TO = "أإآٱىئؤة", "اااايي" + "وه"
+FOLDED_FROM, FOLDED_TO = "أإآٱىئؤة", "ااااييوه"
 ARABIC = "[\u0600-\u06ff]"
 LATIN = "[A-Za-z]"
 URDU_ONLY = "[ٹڈڑںےۓھہ]"

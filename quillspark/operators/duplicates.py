@@ -26,10 +26,11 @@ def similar_pairs(works: DataFrame, id_: str = "id", signature: str = "signature
     each = groups.select("lead", "n", F.explode("grams").alias("g"))
     rare = each.groupBy("g").agg(F.count("*").alias("df"))
     ordered = each.join(rare, "g").groupBy("lead", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
-    prefix = ordered.select("lead", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("p")).select("lead", "n", F.col("p.g").alias("g"))
-    a, b = prefix.select(F.col("lead").alias("first"), F.col("n").alias("na"), "g"), prefix.select(F.col("lead").alias("second"), F.col("n").alias("nb"), "g")
-    short, long = F.least("na", "nb"), F.greatest("na", "nb")
-    pairs = a.join(b, "g").where((F.col("first") < F.col("second")) & (short >= long * threshold)).select("first", "second").distinct()
+    prefix = ordered.select("lead", "n", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("pos", "p")).select("lead", "n", (F.col("n") - F.col("pos")).alias("left"), F.col("p.g").alias("g"))
+    a, b = prefix.select(F.col("lead").alias("first"), F.col("n").alias("na"), F.col("left").alias("la"), "g"), prefix.select(F.col("lead").alias("second"), F.col("n").alias("nb"), F.col("left").alias("lb"), "g")
+    # From the first shared trigram on, what is left of either must hold all that the two share.
+    enough = F.least("la", "lb") >= F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    pairs = a.join(b, "g").where((F.col("first") < F.col("second")) & enough).select("first", "second").distinct()
     left, right = groups.select(F.col("lead").alias("first"), F.col("grams").alias("ga")), groups.select(F.col("lead").alias("second"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
     score = shared / (F.size("ga") + F.size("gb") - shared)

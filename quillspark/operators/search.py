@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .checkpoints import cut
 
 
 def visible(works: DataFrame, staff: bool = False) -> DataFrame:
@@ -108,6 +109,6 @@ def suggest(works: DataFrame, folded_query: str, limit: int = 8) -> DataFrame:
     """Up to `limit` titles with the number of all that match; nothing for fewer than two characters."""
     if len(folded_query.strip()) < 2:
         return works.limit(0).select("id", "title").withColumn("total", F.lit(0).cast("long"))
-    found = works.where(matches_all(F.col("search_text"), folded_query))
+    found = cut(works.where(matches_all(F.col("search_text"), folded_query)).select("id", "title"))  # the texts are read once
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy("title", "id").limit(limit).select("id", "title").crossJoin(F.broadcast(total))  # one row

@@ -89,8 +89,10 @@ def filled_drafts(read: Reader) -> DataFrame:
     return s.select("s_suppkey", R.filled(old, F.lit("draft")).alias("text"))
 
 
-@query("reconciled_sources", "SELECT s_name AS url, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE 'old' END AS name, 'html' AS parser_type, s_suppkey % 5 <> 0 OR s_suppkey >= 50 AS is_active FROM supplier WHERE s_suppkey < 50 OR s_suppkey % 2 = 0")
+@query("reconciled_sources", """SELECT s_name AS url, CASE WHEN s_nationkey < 15 THEN 'new' ELSE 'old' END AS name, 'html' AS parser_type, s_acctbal <= 0 OR s_acctbal < 5000 AS is_active
+FROM supplier WHERE s_acctbal > 0 OR s_nationkey < 15""")
 def reconciled_sources(read: Reader) -> DataFrame:
+    """Suppliers in credit are the sources known so far, those of the first nations the defaults."""
     s = read("supplier")
-    have = s.where("s_suppkey < 50").select(F.col("s_name").alias("url"), F.lit("old").alias("name"), F.lit("html").alias("parser_type"), (F.col("s_suppkey") % 5 != 0).alias("is_active"))
-    return R.reconcile_sources(s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("url"), F.lit("new").alias("name"), F.lit("html").alias("parser_type")), have)
+    have = s.where("s_acctbal > 0").select(F.col("s_name").alias("url"), F.lit("old").alias("name"), F.lit("html").alias("parser_type"), (F.col("s_acctbal") < 5000).alias("is_active"))
+    return R.reconcile_sources(s.where("s_nationkey < 15").select(F.col("s_name").alias("url"), F.lit("new").alias("name"), F.lit("html").alias("parser_type")), have)

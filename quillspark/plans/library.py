@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import relations as R
 from ..operators import search as S
+from ..operators.checkpoints import cut
 from .models import BRIDGE, DOCS, WORKS, Reader, bridge, documents, fold_sql, works
 from .registry import query
 
@@ -19,6 +20,7 @@ def search_listing(read: Reader) -> DataFrame:
     """Visible works that have every term, the first page of 24, with the number of all."""
     scope = S.visible(documents(read)).withColumn("search_text", X.fold(F.col("lyrics")))
     found = scope.where(S.matches_all(F.col("search_text"), QUERY_TEXT)).select("id", "lang", "source", "n_chars")
+    found = cut(found)  # the texts are folded once, for the page and for the number
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy(F.desc("n_chars"), "id").limit(24).crossJoin(F.broadcast(total))  # one row
 
@@ -162,15 +164,15 @@ def names_from_text(read: Reader) -> DataFrame:
 
 
 @query("replacement_chase", """WITH RECURSIVE hops AS (
-  SELECT n_nationkey AS id, n_nationkey AS cur, 0 AS hop FROM nation
-  UNION ALL SELECT h.id, (h.cur * 7 + 3) % 25, hop + 1 FROM hops h WHERE hop < 5 AND h.cur % 10 <> 0
+  SELECT o_orderkey AS id, o_orderkey AS cur, 0 AS hop FROM orders
+  UNION ALL SELECT h.id, h.cur // 2, hop + 1 FROM hops h WHERE hop < 5 AND h.cur % 10 <> 0 AND h.cur IN (SELECT o_orderkey FROM orders)
 )
-SELECT n_nationkey AS id, (SELECT cur FROM hops h WHERE h.id = n_nationkey AND hop > 0 AND cur % 4 = 1 ORDER BY hop LIMIT 1) AS target FROM nation""")
+SELECT o.o_orderkey AS id, (SELECT h.cur FROM hops h JOIN orders v ON v.o_orderkey = h.cur WHERE h.id = o.o_orderkey AND hop > 0 AND v.o_orderstatus = 'O' ORDER BY hop LIMIT 1) AS target FROM orders o""")
 def replacement_chase(read: Reader) -> DataFrame:
     """The first visible work within five hops of replaced_by."""
-    n = read("nation").select(F.col("n_nationkey").alias("id"))
-    links = n.select("id", F.when(F.col("id") % 10 != 0, (F.col("id") * 7 + 3) % 25).alias("replaced_by_id"))
-    return R.follow(links, n, n.where("id % 4 = 1"))
+    n = read("orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    links = n.select("id", F.when(F.col("id") % 10 != 0, F.expr("id div 2")).alias("replaced_by_id"))
+    return R.follow(links, n.select("id"), n.where("o_orderstatus = 'O'"))
 
 
 @query("collection_numbering", "SELECT o_orderkey, o_custkey, 2 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position FROM orders WHERE o_orderstatus = 'P'")
@@ -205,10 +207,10 @@ def tag_union_distinct(read: Reader) -> DataFrame:
     return b.where("axis = 'PROMO'").select("work_id", "tag").union(b.where("axis = 'SMALL'").select("work_id", F.lit("kept"))).distinct()
 
 
-@query("null_order", "SELECT id, position FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 50 END AS position FROM orders) ORDER BY position ASC NULLS LAST, id LIMIT 200")
+@query("null_order", "SELECT id, position FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 50 END AS position FROM orders) ORDER BY position ASC NULLS LAST, id")
 def null_order(read: Reader) -> DataFrame:
     o = read("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 50).alias("position"))
-    return o.orderBy(F.asc_nulls_last("position"), "id").limit(200)
+    return o.orderBy(F.asc_nulls_last("position"), "id")
 
 
 @query("status_counts", "SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS waiting, count(*) FILTER (WHERE event_type = 'purchase') AS accepted, count(*) FILTER (WHERE value IS NULL) AS unattributed FROM events GROUP BY user_id")
@@ -221,6 +223,6 @@ def random_work(read: Reader) -> DataFrame:
     return S.visible(works(read)).orderBy(F.rand()).limit(1).select("id", "author")
 
 
-@query("json_suggest", "SELECT json_object('id', c_custkey, 'name', c_name)::VARCHAR AS line FROM customer WHERE c_custkey < 20")
+@query("json_suggest", "SELECT json_object('id', c_custkey, 'name', c_name)::VARCHAR AS line FROM customer")
 def json_suggest(read: Reader) -> DataFrame:
-    return read("customer").where("c_custkey < 20").select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("line"))
+    return read("customer").select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("line"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 Reader = Callable[[str], DataFrame]
 
 STATES = {"O": "approved", "P": "pending", "F": "rejected"}
@@ -58,6 +60,6 @@ DOCS = """docs AS (
 def fold_sql(c: str) -> str:
     """SQL of the folding of a text."""
     marks = f"regexp_replace(coalesce({c}, ''), '[\\x{{064B}}-\\x{{0652}}\\x{{0653}}-\\x{{0655}}\\x{{0670}}\\x{{06D6}}-\\x{{06ED}}\\x{{0640}}]', '', 'g')"
-    letters = f"translate(replace({marks}, 'ﷲ', 'الله'), 'أإآٱىئؤة', 'اااايي' || 'وه')"
+    letters = f"translate(replace({marks}, 'ﷲ', 'الله'), '{X.FOLDED_FROM}', '{X.FOLDED_TO}')"
     words = f"regexp_replace({letters}, '[^\\p{{L}}\\p{{N}}_\\s\\x{{0600}}-\\x{{06FF}}]+', ' ', 'g')"
     return f"lower(trim(regexp_replace({words}, '\\s+', ' ', 'g')))"

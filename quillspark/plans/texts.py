@@ -37,9 +37,13 @@ def detect_language(read: Reader) -> DataFrame:
     return read("documents").select("doc_id", X.detect_language(F.col("text"))["code"].alias("code"))
 
 
-@query("native_script", "SELECT doc_id, len(regexp_extract_all(text, '[\\x{0600}-\\x{06FF}]')) AS arabic, FALSE AS native FROM documents")
+@query("native_script", r"""WITH t AS (SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE translate(text, 'abcdefghij', 'ابتثجحخدذر') END AS t FROM documents),
+n AS (SELECT doc_id, len(regexp_extract_all(t, '[\x{0600}-\x{06FF}]')) AS arabic, len(regexp_extract_all(t, '[A-Za-z]')) AS latin FROM t)
+SELECT doc_id, arabic, arabic >= 40 AND arabic >= (arabic + latin) * 0.5 AS native FROM n""")
 def native_script(read: Reader) -> DataFrame:
-    return read("documents").select("doc_id", X.arabic_length(F.col("text")).cast("long").alias("arabic"), X.is_native_script(F.col("text")).alias("native"))
+    """Documents in other languages than English with ten letters written in Arabic ones."""
+    t = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.translate("text", "abcdefghij", "ابتثجحخدذر"))
+    return read("documents").select("doc_id", X.arabic_length(t).cast("long").alias("arabic"), X.is_native_script(t).alias("native"))
 
 
 @query("language_codes", "SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr' ELSE 'es' END AS code FROM documents")
@@ -48,10 +52,12 @@ def language_codes(read: Reader) -> DataFrame:
     return read("documents").select("doc_id", X.language_code(F.element_at(names, F.col("lang"))).alias("code"))
 
 
-@query("verse_markers", r"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE NOT contains(text, '*'))
-SELECT doc_id, text AS cleaned FROM documents WHERE NOT contains(text, '*')""")
+@query("verse_markers", r"""WITH t AS (SELECT doc_id, trim(regexp_replace(substr(replace(text, '*', ''), 1, 200), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, 'A title' || chr(10) || t || chr(10) || 'and its end' AS cleaned FROM t""")
 def verse_markers(read: Reader) -> DataFrame:
-    return read("documents").where(~F.contains("text", F.lit("*"))).select("doc_id", X.verse_markers(F.col("text")).alias("cleaned"))
+    """An emphasised opening, a line that holds emphasis, and a run of asterisks, around the opening of every document."""
+    t = F.trim(F.regexp_replace(F.substring(F.replace("text", F.lit("*"), F.lit("")), 1, 200), r"\s+", " "))
+    return read("documents").select("doc_id", X.verse_markers(F.concat(F.lit("**A title** "), t, F.lit(" ** and its end"))).alias("cleaned"))
 
 
 @query("verse_markers_cleaned")
@@ -82,10 +88,13 @@ def strip_furniture(read: Reader) -> DataFrame:
     return read("documents").select("doc_id", X.strip_furniture(F.col("text")).alias("kept"), X.furniture_is_safe(F.col("text")).alias("safe"))
 
 
-@query("reflow_guard", "SELECT doc_id, TRUE AS same FROM documents")
+@query("reflow_guard", r"""WITH s AS (SELECT doc_id, trim(substr(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), 1, 300)) AS s FROM documents)
+SELECT doc_id, trim(CASE WHEN 2 * length(s) + 7 > 400 THEN s || chr(10) || 'قصيدة' || chr(10) || s ELSE s || ' قصيدة ' || s END) AS reflowed, TRUE AS same FROM s""")
 def reflow_guard(read: Reader) -> DataFrame:
-    """Reflowing a text changes white space only."""
-    return read("documents").select("doc_id", X.same_characters(F.col("text"), X.reflow(F.col("text"))).alias("same"))
+    """A title in another script within one line: long lines break around it, and white space is all that changes."""
+    s = F.trim(F.substring(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), 1, 300))
+    line = F.concat(s, F.lit(" قصيدة "), s)
+    return read("documents").select("doc_id", X.reflow(line).alias("reflowed"), X.same_characters(line, X.reflow(line)).alias("same"))
 
 
 @query("split_chunks", r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS n, TRUE AS fits FROM documents")
@@ -143,15 +152,16 @@ def trigram_pairs(read: Reader) -> DataFrame:
     return D.similar_pairs(d)
 
 
-@query("link_refresh", """WITH old AS (SELECT o_orderkey AS first, o_orderkey + 1 AS second, 0.6::DOUBLE AS score, 'fuzzy' AS matched_on, CASE WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'distinct' END AS state FROM orders WHERE o_orderkey < 1000),
-new AS (SELECT o_orderkey AS first, o_orderkey + 1 AS second, 0.9::DOUBLE AS score, 'opening' AS matched_on FROM orders WHERE o_orderkey BETWEEN 500 AND 1500)
+@query("link_refresh", """WITH old AS (SELECT o_orderkey AS first, o_orderkey + 1 AS second, 0.6::DOUBLE AS score, 'fuzzy' AS matched_on, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'distinct' END AS state FROM orders WHERE o_orderstatus <> 'F'),
+new AS (SELECT o_orderkey AS first, o_orderkey + 1 AS second, 0.9::DOUBLE AS score, 'opening' AS matched_on FROM orders WHERE o_orderpriority < '3')
 SELECT coalesce(o.first, n.first) AS first, coalesce(o.second, n.second) AS second, CASE WHEN n.first IS NOT NULL AND coalesce(state, 'pending') = 'pending' THEN n.score ELSE o.score END AS score,
 CASE WHEN n.first IS NOT NULL AND coalesce(state, 'pending') = 'pending' THEN n.matched_on ELSE o.matched_on END AS matched_on, coalesce(state, 'pending') AS state
 FROM old o FULL JOIN new n ON o.first = n.first AND o.second = n.second""")
 def link_refresh(read: Reader) -> DataFrame:
-    o = read("orders").select(F.col("o_orderkey").alias("first"), (F.col("o_orderkey") + 1).alias("second"))
-    old = o.where("first < 1000").withColumns({"score": F.lit(0.6), "matched_on": F.lit("fuzzy"), "state": F.when(F.col("first") % 2 == 0, "pending").otherwise("distinct")})
-    return D.record(old, o.where("first between 500 and 1500").withColumns({"score": F.lit(0.9), "matched_on": F.lit("opening")}))
+    """Open and pending orders stand for the links so far, urgent ones for those of the new scan."""
+    o = read("orders").select(F.col("o_orderkey").alias("first"), (F.col("o_orderkey") + 1).alias("second"), "o_orderstatus", "o_orderpriority")
+    old = o.where("o_orderstatus <> 'F'").select("first", "second", F.lit(0.6).alias("score"), F.lit("fuzzy").alias("matched_on"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("distinct").alias("state"))
+    return D.record(old, o.where("o_orderpriority < '3'").select("first", "second", F.lit(0.9).alias("score"), F.lit("opening").alias("matched_on")))
 
 
 @query("rulings", """WITH moves AS (SELECT s_suppkey AS hidden, s_suppkey - 1 AS kept FROM supplier WHERE s_suppkey % 10 = 1),
@@ -188,9 +198,13 @@ def same_host(read: Reader) -> DataFrame:
     return read("pages").select("page_id", X.same_host(F.col("url"), F.lit("Therin.Example.Net")).alias("same"))
 
 
-@query("normal_urls", "SELECT page_id, url AS normal FROM pages")
+@query("normal_urls", r"""WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '://', ':') ELSE url END AS u FROM pages),
+d AS (SELECT page_id, regexp_replace(u, '/([^/]*)$', '///\1') AS u FROM u)
+SELECT page_id, CASE WHEN contains(u, '://') THEN regexp_extract(u, '^[^:]*://') || regexp_replace(regexp_replace(u, '^[^:]*://', ''), '/+', '/', 'g') ELSE u END AS normal FROM d""")
 def normal_urls(read: Reader) -> DataFrame:
-    return read("pages").select("page_id", X.normalize_url(F.regexp_replace("url", "/(?=[^/]*$)", "//")).alias("normal"))
+    """URLs with a slash tripled; every third one has lost its scheme's slashes and stays as it is."""
+    u = F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("://"), F.lit(":"))).otherwise(F.col("url"))
+    return read("pages").select("page_id", X.normalize_url(F.regexp_replace(u, "/([^/]*)$", "///$1")).alias("normal"))
 
 
 @query("canonical_pages", r"WITH u AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS path FROM pages) SELECT path, first(url ORDER BY (url <> path), page_id) AS url FROM u GROUP BY path")
@@ -205,10 +219,10 @@ def page_links(read: Reader) -> DataFrame:
 
 
 @query("frontier", r"""WITH e AS (SELECT DISTINCT url AS src, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || unnest(regexp_extract_all(html, '<a href="(/[^"#]+)"', 1)) AS url FROM pages),
-seeds AS (SELECT DISTINCT url FROM pages WHERE page_id < 50), one AS (SELECT DISTINCT e.url FROM e JOIN seeds s ON e.src = s.url WHERE e.url NOT IN (SELECT url FROM seeds))
+seeds AS (SELECT DISTINCT url FROM pages WHERE length(url) % 2 = 0), one AS (SELECT DISTINCT e.url FROM e JOIN seeds s ON e.src = s.url WHERE e.url NOT IN (SELECT url FROM seeds))
 SELECT url, 0 AS level FROM seeds UNION ALL SELECT url, 1 FROM one""")
 def frontier(read: Reader) -> DataFrame:
-    return R.crawl_frontier(read("pages"), read("pages").where("page_id < 50").select("url"), "(?!)", 2)
+    return R.crawl_frontier(read("pages"), read("pages").where("length(url) % 2 = 0").select("url"), "(?!)", 2)
 
 
 @query("html_titles", r"SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&amp;', '&')) AS title FROM pages")
