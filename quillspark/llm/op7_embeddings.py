@@ -12,8 +12,9 @@ Vectors of one label and one length are linked if their cosine, in double precis
    closer to it by the factor alpha. The adjacency lists of a node from all its shards are united.
 4. Search. In each shard, queries walk greedily from the shard's medoid (and from their own node) with a beam, then
    expand every node within range until no more is found. What is in range is verified with the exact cosine.
-5. Audit. A sample of balls is compared with all by brute force. While the recall is below `target`, the search is
-   run again with twice the probes and beam, up to probing all shards of the label.
+5. Audit. A sample of balls is compared with all by brute force; it grows until it holds enough true pairs to tell the
+   recall, or `most_audited` balls. While the recall is below `target`, the search is run again with twice the probes and
+   beam, up to probing all shards of the label; a recall that stays below is an error.
 6. Pairs of balls that are neither wholly in nor wholly out of reach are verified vector by vector, in tiles.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component links with nothing, as
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, staged, table
+from .common import dropped, in_arrow, staged, table
 from .components import components, with_smallest
 
 THRESHOLD = 0.93
@@ -42,7 +43,8 @@ MOST_CENTRES = 2048
 HOME = 600
 SHARD_NODES = 4096
 TILE = 2048
-AUDITED = 256
+#: Balls that are audited at first and at most, and true pairs that tell the recall.
+AUDITED, MOST_AUDITED, ENOUGH_PAIRS = 256, 4096, 200
 TARGET = 0.99
 _SLACK = 1e-9
 
@@ -352,13 +354,12 @@ def near_pairs(leaders: DataFrame, centres: dict, angle: float, overlap: int, pr
     return staged(found.dropDuplicates(["a", "b"]))
 
 
-def audit(leaders: DataFrame, pairs: DataFrame, angle: float, audited: int = AUDITED) -> float:
-    """Share of the pairs of a sample of balls, found by brute force over all balls, that the search has found too."""
-    n = leaders.count()
+def audit(leaders: DataFrame, pairs: DataFrame, angle: float, audited: int, n: int) -> tuple[int, int]:
+    """Of the pairs of a sample of the n balls, found by brute force over all balls, how many the search has found too, and how many there are."""
     slots = 1 << 30
     rows = leaders.where(F.pmod(F.xxhash64("lid", F.lit(9)), F.lit(slots)) < min(slots, 1 + int(slots * audited / max(n, 1)))).select("label", "dim", "lid", "centre", "radius").collect()
     if not rows:
-        return 1.0
+        return 0, 0
     groups: dict[tuple, list] = {}
     for r in rows:
         groups.setdefault((r["label"], r["dim"]), []).append(r)
@@ -378,7 +379,7 @@ def audit(leaders: DataFrame, pairs: DataFrame, angle: float, audited: int = AUD
 
     true = in_arrow(leaders.select("label", "dim", "lid", "centre", "radius"), run, "a long, b long").distinct()
     seen = true.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    return seen["hit"] / seen["n"] if seen["n"] else 1.0
+    return seen["hit"], seen["n"]
 
 
 def verify(rows: DataFrame, doubtful: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -402,7 +403,7 @@ def verify(rows: DataFrame, doubtful: DataFrame, threshold: float) -> tuple[Data
     return found.groupBy("_r").agg(F.sum("n").alias("n")), found.select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, sample: int = SAMPLE, most_centres: int = MOST_CENTRES, target: float = TARGET) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, sample: int = SAMPLE, most_centres: int = MOST_CENTRES, target: float = TARGET, most_audited: int = MOST_AUDITED) -> DataFrame:
     """One row for each row of df: key, n_links, component_id, kept."""
     angle = math.acos(threshold)
     rows = staged(df.select(F.col(key).alias("_k"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).withColumn("_r", F.monotonically_increasing_id()).select("_r", "_k", "label", "v"))
@@ -410,11 +411,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     leaders = balled.where("size > 0").select("label", "dim", "lid", "centre", "radius", "size")
     centres = fit_centres(leaders, sample, most_centres)
     most = max((len(c) for c in centres.values()), default=1)
-    probes, beam = 5, 24
+    probes, beam, n = 5, 24, leaders.count()
     while True:
         pairs = near_pairs(leaders, centres, angle, 2, probes, beam)
-        if audit(leaders, pairs, angle) >= target or probes >= most and beam >= 512:
+        audited = AUDITED
+        hit, true = audit(leaders, pairs, angle, audited, n)
+        while true < ENOUGH_PAIRS and audited < min(n, most_audited):
+            audited = min(audited * 4, most_audited)
+            hit, true = audit(leaders, pairs, angle, audited, n)
+        if hit >= target * true:
             break
+        if probes >= most and beam >= 512:
+            raise RuntimeError(f"the search finds {hit} of {true} audited pairs, less than {target}")
+        dropped(pairs)
         probes, beam = probes * 2, beam * 2
     one = F.greatest("na", "nb") == 1
     whole = pairs.where(F.when(one, F.cos("theta") >= threshold - 1e-12).otherwise(F.col("theta") + F.col("ra") + F.col("rb") <= angle - _SLACK))

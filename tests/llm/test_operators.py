@@ -540,6 +540,21 @@ def test_embeddings(spark):
     assert op7.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_audit_grows_and_tells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=24).tolist(), 0) for i in range(1500)]
+    rows += [(2000 + i, (np.array(rows[i][1]) * 1.01).tolist(), 0) for i in range(0, 1500, 150)]  # few links
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    seen = []
+    real = op7.audit
+    monkeypatch.setattr(op7, "audit", lambda *a: seen.append(a[3]) or real(*a))
+    got = op7.near_duplicates(df).where("n_links > 0").count()
+    assert got == 20 and seen[0] == 256 and seen[-1] >= 1024
+    monkeypatch.setattr(op7, "audit", lambda *a: (1, 1000))
+    with pytest.raises(RuntimeError):
+        op7.near_duplicates(df.limit(60))
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 
