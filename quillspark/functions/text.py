@@ -6,6 +6,8 @@ sequential over a text are in `sequential`. Character classes are written out, a
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 MARKS = "[\u064b-\u0652\u0653-\u0655\u0670\u06d6-\u06ed\u0640]"
 #: Letters that folding takes for the same one.
 FOLDED_FROM, FOLDED_TO = "أإآٱىئؤة", "ااااييوه"
+#: The vowel marks and annotation alone, the stretch, and the letters that are words by themselves.
+VOWEL_MARKS = "[\u064b-\u0652\u0670\u06d6-\u06ed]"
+STRETCH = "\u0640"
+REAL_SINGLES = "وأا"
 ARABIC = "[\u0600-\u06ff]"
 LATIN = "[A-Za-z]"
 URDU_ONLY = "[ٹڈڑںےۓھہ]"
@@ -473,6 +479,35 @@ def preview(c: Column, most: int = 90) -> Column:
     return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most), F.lit("…"))).otherwise(one)
 
 
+def merge_orphans(line: Column) -> Column:
+    """A line whose single Arabic letters, those that are no words, are joined to a neighbour: the one before, else the one after."""
+    orphan = lambda w: w.rlike(f"^{VOWEL_MARKS}*[\u0600-\u06ff&&[^{REAL_SINGLES}{VOWEL_MARKS[1:-1]}]]{VOWEL_MARKS}*$")
+    words = F.filter(F.split(blank(line), " +"), lambda w: w != "")
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
+    put = lambda s, w: F.when(orphan(w) | orphan(s["last"]) | (s["last"] == ""), F.struct(s["done"].alias("done"), F.concat(s["last"], w).alias("last"))).otherwise(
+        F.struct(F.concat(s["done"], s["last"], F.lit(" ")).alias("done"), w.alias("last"))
+    )
+    return F.aggregate(words, start, put, lambda s: F.concat(s["done"], s["last"]))
+
+
+def keyed_id(value: Column, salt: str, secret: str, length: int = 20) -> Column:
+    """The opening of a keyed hash (HMAC by SHA-1, its key derived from salt and secret); `anon` for null. The secret stays on the driver."""
+    key = hashlib.sha1((salt + secret).encode()).digest().ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    whole = F.sha1(F.concat(outer, F.unhex(F.sha1(F.concat(inner, F.encode(value.cast("string"), "UTF-8"))))))
+    return F.coalesce(F.substring(whole, 1, length), F.lit("anon"))
+
+
+def mixed_password(c: Column) -> Column:
+    """Whether a password has a letter and something else."""
+    return blank(c).rlike(r"\p{L}") & blank(c).rlike(r"(?s)[^\p{L}]")
+
+
+def message_is_fit(message: Column, trap: Column) -> Column:
+    """Whether a message has ten characters or more and its hidden field is blank."""
+    return (F.length(strip(blank(message))) >= 10) & (strip(blank(trap)) == "")
+
+
 def percent(score: Column) -> Column:
     return F.concat(F.bround(score * 100, 0).cast("int").cast("string"), F.lit("%"))
 

@@ -97,6 +97,15 @@ def refusal_runs(attempts: DataFrame, key: str, order: list[str], refused: Colum
     return island.withColumn("in_a_row", F.sum(refused.cast("int")).over(inside)).drop("_island")
 
 
+def throttled(attempts: DataFrame, key: str, order: list[str], refused: Column, answered: Column, pause: int = 30, most: int = 6) -> DataFrame:
+    """The attempts that take place, with in_a_row and the seconds to wait after each: refusals in a row lengthen the
+    pause, and the one numbered `most` ends the key's run."""
+    runs = refusal_runs(attempts, key, order, refused, answered)
+    earlier = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    going = runs.withColumn("_worst", F.max("in_a_row").over(earlier)).where(F.coalesce("_worst", F.lit(0)) < most).drop("_worst")
+    return going.withColumn("pause", F.when(refused & (F.col("in_a_row") < most), F.col("in_a_row") * pause).otherwise(0).cast("long"))
+
+
 def prefer(df: DataFrame, key: list[str], value: str, order: list[Column]) -> DataFrame:
     """One value of each key: the first in the order."""
     return df.groupBy(*key).agg(F.min_by(value, F.struct(*order)).alias(value))

@@ -76,6 +76,15 @@ def scoped_facets(works: DataFrame, chosen: Mapping[str, Column], facets: Mappin
     return rows.where(F.col("value").isNotNull() & (F.col("value") != "")).groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def tagged_facets(works: DataFrame, bridge: DataFrame, tags: list[str], chosen: Mapping[str, Column], facets: Mapping[str, str], work: str = "id", bridge_work: str = "work_id", tag: str = "tag") -> DataFrame:
+    """scoped_facets with a tag filter, and the facet `tag`: it counts works under all filters, the tags among them, since tags are joined by and."""
+    held = with_all_tags(works, bridge, tags, work, bridge_work, tag)
+    scope = held.where(reduce(and_, [F.coalesce(p, F.lit(False)) for p in chosen.values()], F.lit(True))).select(work)
+    own = bridge.select(F.col(bridge_work).alias("_w"), F.col(tag).alias("value")).where("value <> ''")
+    tagged = own.join(scope, own["_w"] == scope[work], "left_semi").groupBy("value").agg(F.countDistinct("_w").alias("n"))
+    return scoped_facets(held, chosen, facets).unionByName(tagged.select(F.lit("tag").alias("facet"), "value", "n"))
+
+
 def grouped_by_axis(tag_counts: DataFrame, active: Iterable[str] = ()) -> DataFrame:
     """(axis, total, items) in the fixed order of axes; in each, active tags first, then by count and label."""
     axis, on = X.tag_axis(F.col("tag")), F.lower("tag").isin([a.lower() for a in active]) if active else F.lit(False)

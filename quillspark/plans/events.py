@@ -42,6 +42,16 @@ def refusal_runs(read: Reader) -> DataFrame:
     return out.select("event_id", "in_a_row")
 
 
+@query("archive_pauses", """WITH i AS (SELECT event_id, user_id, ts, event_type, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS island FROM events),
+r AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id)::BIGINT AS n FROM i),
+w AS (SELECT *, max(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS worst FROM r)
+SELECT event_id, n AS in_a_row, CASE WHEN event_type = 'error' AND n < 3 THEN n * 30 ELSE 0 END AS pause FROM w WHERE coalesce(worst, 0) < 3""")
+def archive_pauses(read: Reader) -> DataFrame:
+    """Events as requests to an archive that refuses some."""
+    out = R.throttled(read("events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "purchase", most=3)
+    return out.select("event_id", "in_a_row", "pause")
+
+
 @query("usage_by_day", """SELECT (ts + INTERVAL 4 HOURS)::DATE AS day, event_type AS model, count(*) AS calls, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS tokens_in, sum(value::BIGINT)::BIGINT AS tokens_out FROM events GROUP BY ALL""")
 def usage_by_day(read: Reader) -> DataFrame:
     calls = read("events").select(F.col("ts"), F.col("event_type").alias("model"), F.get_json_object("props", "$.k").cast("long").alias("tokens_in"), F.rint("value").cast("long").alias("tokens_out"))

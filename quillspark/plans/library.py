@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import glyphs as G
 from ..operators import relations as R
 from ..operators import search as S
 from ..operators.checkpoints import cut
@@ -72,6 +73,30 @@ def scoped_facets(read: Reader) -> DataFrame:
     return S.scoped_facets(works(read), chosen, {"language": "language", "dedication": "dedication", "author": "author"})
 
 
+@query("tagged_facets", f"""WITH {WORKS}, {BRIDGE}, base AS (SELECT *, review_state = 'approved' AS v, language = 'URGENT' AS l FROM works WHERE id IN (SELECT work_id FROM bridge WHERE tag = 'Brand#4'))
+SELECT 'language' AS facet, language AS value, count(*) AS n FROM base WHERE v GROUP BY language
+UNION ALL SELECT 'author', author, count(*) FROM base WHERE v AND l GROUP BY author
+UNION ALL SELECT 'tag', tag, count(DISTINCT id) FROM base JOIN bridge ON id = work_id WHERE v AND l GROUP BY tag""")
+def tagged_facets(read: Reader) -> DataFrame:
+    chosen = {"visible": F.col("review_state") == "approved", "language": F.col("language") == "URGENT"}
+    return S.tagged_facets(works(read), bridge(read), ["brand#4"], chosen, {"language": "language", "author": "author"})
+
+
+@query("rebuilt_text", """WITH g AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS page, l_linenumber AS nth, l_returnflag AS glyph, l_quantity::DOUBLE * 2 AS x0, l_quantity::DOUBLE * 2 + l_partkey % 3 AS x1, round_even(l_suppkey % 3 + 0.5, 0) AS r FROM lineitem),
+m AS (SELECT *, median(CASE WHEN x1 > x0 THEN x1 - x0 END) OVER (PARTITION BY doc, page, r) AS w, lag(x0) OVER (PARTITION BY doc, page, r ORDER BY x0 DESC, nth) AS before FROM g),
+t AS (SELECT doc, page, r, trim(string_agg(CASE WHEN before - x1 > w * 0.3 THEN ' ' ELSE '' END || glyph, '' ORDER BY x0 DESC, nth)) AS line FROM m WHERE w IS NOT NULL GROUP BY ALL)
+SELECT doc, page, string_agg(line, chr(10) ORDER BY r) AS text FROM t GROUP BY ALL""")
+def rebuilt_text(read: Reader) -> DataFrame:
+    """Line items as glyphs: their places come from quantity and supplier, their widths from the part."""
+    x0 = F.col("l_quantity").cast("double") * 2
+    y0 = (F.col("l_suppkey") % 3).cast("double")
+    glyphs = read("lineitem").select(
+        F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") % 2).alias("page"), F.col("l_linenumber").alias("at"), F.col("l_returnflag").alias("glyph"),
+        x0.alias("x0"), (x0 + F.col("l_partkey") % 3).alias("x1"), y0.alias("y0"), (y0 + 1).alias("y1"),
+    )
+    return G.rebuilt_text(glyphs, ["doc", "page"])
+
+
 @query("grouped_axes", f"WITH {BRIDGE}, counts AS (SELECT axis, tag, count(DISTINCT work_id) AS n FROM bridge GROUP BY axis, tag) SELECT axis, sum(n)::BIGINT AS total, string_agg(tag || '=' || n, ',' ORDER BY n DESC, tag) AS items FROM counts GROUP BY axis")
 def grouped_axes(read: Reader) -> DataFrame:
     counts = bridge(read).groupBy("axis", "tag").agg(F.countDistinct("work_id").alias("n"))

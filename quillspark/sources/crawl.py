@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sequential as Q
 from ..functions import text as X
 
 #: Caps of discovery; fixed values.
@@ -77,7 +78,7 @@ def archive_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def verse_labels_only(posts: DataFrame, pattern: str = r"(?i)naat|hamd|manqa?bat|salaam?|qa[sc]ee?da|kalaa?m|durood") -> DataFrame:
     """Posts whose labels name a form of verse, or that have none."""
-    return posts.where((F.size("labels") == 0) | F.exists("labels", lambda x: x.rlike(pattern)))
+    return posts.where((F.coalesce(F.size("labels"), F.lit(0)) <= 0) | F.exists("labels", lambda x: x.rlike(pattern)))
 
 
 def image_urls(posts: DataFrame, html: str = "html", key: str = "link") -> DataFrame:
@@ -94,6 +95,31 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.substring("content", 1, 4) == F.lit(b"%PDF")).select("path", "length", "content")
 
 
+#: Image kinds that are sent as they are, by their first bytes, and the largest such file; fixed values.
+IMAGE_KINDS = (("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("52494646........57454250", "image/webp"))
+MOST_IMAGE_BYTES = 6 * 1024 * 1024
+
+
+def image_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, mime, as_is, content) of stored scans that are images by their first bytes; as_is: small enough to be sent unchanged."""
+    head = F.hex(F.substring("content", 1, 12))
+    mime = F.coalesce(*[F.when(head.rlike(f"^{opening}"), kind) for opening, kind in IMAGE_KINDS])
+    rows = spark.read.format("binaryFile").load(path).withColumn("mime", mime).where(F.col("mime").isNotNull())
+    return rows.select("path", "length", "mime", (F.col("length") <= MOST_IMAGE_BYTES).alias("as_is"), "content")
+
+
+def listing_posts(listings: DataFrame, pages: DataFrame, host: str) -> DataFrame:
+    """(link, title, lyrics) of the posts that a host's listing pages (html) name and that are stored in pages (url, html); those without text are left out."""
+    links = listings.select(F.explode(Q.links_of_listing("html")).alias("link")).where(X.same_host(F.col("link"), F.lit(host)) & (X.safe_source_url(F.col("link")) != "")).distinct()
+    named = pages.join(links, pages["url"] == links["link"]).select("link", Q.posts_of_entries("html").alias("post"))
+    return named.select("link", "post.title", "post.lyrics").where(X.blank(F.col("lyrics")) != "")
+
+
+def post_texts(posts: DataFrame) -> DataFrame:
+    """posts (title, html and others) with their verse as lyrics in place of html."""
+    return posts.withColumn("lyrics", Q.post_bodies("html", "title")).drop("html")
+
+
 #: Parser of each kind of source: a function from stored pages to (link, title, html, labels).
 PARSERS: dict[str, Callable[..., DataFrame]] = {"wordpress": uniform_posts, "blogger": feed_posts, "bundle": bundle_records, "sitemap": sitemap_urls}
 

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sequential as Q
 from ..functions import text as X
 from ..operators import relations as R
 
 
 def with_derived(works: DataFrame) -> DataFrame:
-    """Works held to their columns' lengths, with search_text and signature."""
+    """Works held to their columns' lengths, with search_text and signature, which are made once, on write, from composed characters."""
     cut = {"title": F.substring(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("Untitled")), 1, 200), "native_title": F.substring(X.blank(F.col("native_title")), 1, 200), "language": F.substring(F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("Unknown")), 1, 50)}
     own = works.withColumns(cut)
-    return own.withColumns({
-        "search_text": X.search_document(*[F.col(c) for c in ("title", "native_title", "author", "dedication", "lyrics", "transliteration", "translation")]),
-        "signature": X.signature(F.col("lyrics"), F.col("transliteration")),
-    })
+    composed = [Q.nfkc(c) for c in ("title", "native_title", "author", "dedication", "lyrics", "transliteration", "translation")]
+    return own.withColumns({"search_text": X.search_document(*composed), "signature": X.signature(composed[4], composed[5])})
 
 
 def new_works(crawled: DataFrame, known: DataFrame, tombstones: DataFrame) -> DataFrame:

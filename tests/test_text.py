@@ -142,5 +142,5 @@ def test_pages():
     assert Q.extract_work("<p>nothing</p>") is None and Q.extract_work(None) is None
 
 
-def test_merge_orphans():
-    assert Q.merge_orphans("ق صيدة و نور") == "قصيدة و نور"
+def test_merge_orphans(spark):
+    assert values(spark, X.merge_orphans, "ق صيدة و نور", "نور ق", "a b", "", None, "قَ صيدة") == ["قصيدة و نور", "نورق", "a b", "", "", "قَصيدة"]
