@@ -83,8 +83,8 @@ def tagged_facets(read: Reader) -> DataFrame:
 
 
 @query("rebuilt_text", """WITH g AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS page, l_linenumber AS nth, l_returnflag AS glyph, l_quantity::DOUBLE * 2 AS x0, l_quantity::DOUBLE * 2 + l_partkey % 3 AS x1, round_even(l_suppkey % 3 + 0.5, 0) AS r FROM lineitem),
-m AS (SELECT *, median(CASE WHEN x1 > x0 THEN x1 - x0 END) OVER (PARTITION BY doc, page, r) AS w, lag(x0) OVER (PARTITION BY doc, page, r ORDER BY x0 DESC, nth) AS before FROM g),
-t AS (SELECT doc, page, r, trim(string_agg(CASE WHEN before - x1 > w * 0.3 THEN ' ' ELSE '' END || glyph, '' ORDER BY x0 DESC, nth)) AS line FROM m WHERE w IS NOT NULL GROUP BY ALL)
+m AS (SELECT *, median(CASE WHEN x1 > x0 THEN x1 - x0 END) OVER (PARTITION BY doc, page, r) AS w, lag(x0) OVER (PARTITION BY doc, page, r ORDER BY x0 DESC, nth, x1, glyph) AS before FROM g),
+t AS (SELECT doc, page, r, trim(string_agg(CASE WHEN before - x1 > w * 0.3 THEN ' ' ELSE '' END || glyph, '' ORDER BY x0 DESC, nth, x1, glyph)) AS line FROM m WHERE w IS NOT NULL GROUP BY ALL)
 SELECT doc, page, string_agg(line, chr(10) ORDER BY r) AS text FROM t GROUP BY ALL""")
 def rebuilt_text(read: Reader) -> DataFrame:
     """Line items as glyphs: their places come from quantity and supplier, their widths from the part."""
