@@ -7,7 +7,10 @@ Vectors of one label and one length are linked if their cosine, in double precis
    links follow from sizes where two balls are wholly within reach of each other.
 2. Shards. Centres of clusters come from a bounded sample of `sample` vectors; at most `most_centres` of them are
    broadcast. Each ball is a node of the shards of its two nearest centres, so shards overlap, and asks in its
-   `probes` nearest. A shard of over `shard_nodes` nodes is cut by a hash; its queries go to each part.
+   `probes` nearest. A shard of over `shard_nodes` nodes gets centres of its own, again at most `most_centres` from a
+   bounded sample, and its rows are dealt to them in the same way, the asks to half as many; these centres are never
+   broadcast but meet their shard's rows in slices. What is still larger (balls in one place) is cut by a hash; its
+   queries go to each part.
 3. Graph. Each shard links its nodes to near ones by robust pruning: a neighbour is left out if one already taken is
    closer to it by the factor alpha. The adjacency lists of a node from all its shards are united.
 4. Search. In each shard, queries walk greedily from the shard's medoid (and from their own node) with a beam, then
@@ -32,6 +35,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import dropped, in_arrow, staged, table
 from .components import components, with_smallest
@@ -42,6 +47,8 @@ MOST_CENTRES = 2048
 #: Balls that a centre is meant for.
 HOME = 600
 SHARD_NODES = 4096
+#: Second centres of a shard for each `shard_nodes` nodes, sampled nodes for each of them, and rows of a slice.
+SUB_CENTRES, SUB_SAMPLE, SLICE = 7, 10, 20_000
 TILE = 2048
 #: Balls that are audited at first and at most, and true pairs that tell the recall.
 AUDITED, MOST_AUDITED, ENOUGH_PAIRS = 256, 4096, 200
@@ -280,7 +287,48 @@ def fit_centres(leaders: DataFrame, sample: int, most: int) -> dict[tuple, np.nd
     return out
 
 
-def near_pairs(leaders: DataFrame, centres: dict, angle: float, overlap: int, probes: int, beam: int, shard_nodes: int = SHARD_NODES) -> DataFrame:
+def split_large(rows: DataFrame, overlap: int, probes: int, most: int, shard_nodes: int) -> DataFrame:
+    """rows with `d`: 0 in shards of up to `shard_nodes` nodes, else the nearest of the shard's own centres, once for each of them."""
+    cell, kept = ["label", "dim", "c"], rows.columns
+    size = rows.groupBy(*cell).agg(F.count_if("node").alias("n"), F.count("*").alias("all")).where(F.col("n") > shard_nodes)
+    large = staged(size.withColumns({"k": F.least(F.lit(most), F.ceil(F.col("n") * SUB_CENTRES / shard_nodes)).cast("int"), "slices": F.ceil(F.col("all") / SLICE).cast("int")}))  # a row for each centre, of which there are few
+    if large.isEmpty():
+        return rows.withColumn("d", F.lit(0))
+    held = rows.join(F.broadcast(large), cell)
+    slots = 1 << 30
+    sampled = held.where("node").where(F.pmod(F.xxhash64("lid", F.lit(11)), F.lit(slots)) < F.col("k") * SUB_SAMPLE / F.col("n") * slots)
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = _matrix(t["centre"])[np.argsort(np.asarray(t["lid"]))]
+        found = kmeans(x, min(len(x), t["k"][0].as_py()), np.random.default_rng(4))
+        return pa.table({**{c: t[c].slice(0, 1) for c in cell}, "slices": t["slices"].slice(0, 1), "model": pa.array([found.ravel()], pa.list_(pa.float64()))})
+
+    label = rows.schema["label"].dataType.simpleString()
+    models = sampled.groupBy(*cell).applyInArrow(fit, f"label {label}, dim int, c int, slices int, model array<double>")
+    models = models.select(*cell, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "model")
+    sliced = held.withColumn("slice", F.pmod(F.xxhash64("lid", F.lit(12)), F.col("slices").cast("long")).cast("int")).select(*kept, "slice")
+
+    out = StructType([*rows.schema.fields, StructField("d", IntegerType())])
+    none = to_arrow_schema(out).empty_table()
+
+    def deal(t: pa.Table, model: pa.Table) -> pa.Table:
+        if not len(t):  # a slice that the hash left empty
+            return none
+        x, node, n = _matrix(t["centre"]), np.asarray(t["node"]), len(t)
+        known = np.asarray(model["model"].combine_chunks().flatten()).reshape(-1, x.shape[1]) if len(model) else np.eye(1, x.shape[1])
+        p = min(max((probes + 1) // 2, overlap), len(known))
+        near = np.empty((n, p), np.int32)
+        for a in range(0, n, 1024):
+            near[a : a + 1024] = np.argsort(-(x[a : a + 1024] @ known.T), axis=1, kind="stable")[:, :p]
+        take = pa.array(np.repeat(np.arange(n), p))
+        own = np.repeat(node, p) & np.tile(np.arange(p) < overlap, n)
+        return pa.table({**{c: t[c].take(take) for c in kept if c != "node"}, "node": pa.array(own), "d": pa.array(near.ravel())}).select([*kept, "d"])
+
+    dealt = sliced.groupBy(*cell, "slice").cogroup(models.groupBy(*cell, "slice")).applyInArrow(deal, out)
+    return staged(rows.join(F.broadcast(large), cell, "left_anti").withColumn("d", F.lit(0)).unionByName(dealt))
+
+
+def near_pairs(leaders: DataFrame, centres: dict, angle: float, overlap: int, probes: int, beam: int, shard_nodes: int = SHARD_NODES, most: int = MOST_CENTRES) -> DataFrame:
     """Pairs (a, b) of balls, a below b, that the graph search finds within reach, with theta and both radii and sizes."""
     spark = leaders.sparkSession
     shared = spark.sparkContext.broadcast(centres)
@@ -305,8 +353,10 @@ def near_pairs(leaders: DataFrame, centres: dict, angle: float, overlap: int, pr
 
     shape = f"label {label}, dim int, lid long, centre array<double>, radius double, size long, c int, node boolean"
     rows = staged(in_arrow(leaders.select("label", "dim", "lid", "centre", "radius", "size"), assign, shape))
-    parts = rows.where("node").groupBy("label", "dim", "c").agg(F.ceil(F.count("*") / shard_nodes).cast("int").alias("parts"))  # a row for each centre, of which there are few
-    rows = rows.join(F.broadcast(parts), ["label", "dim", "c"])
+    rows = split_large(rows, overlap, probes, most, shard_nodes)
+    shard = ["label", "dim", "c", "d"]
+    parts = rows.where("node").groupBy(*shard).agg(F.ceil(F.count("*") / shard_nodes).cast("int").alias("parts"))  # a row for each shard
+    rows = rows.join(parts, shard)
     part = F.pmod(F.xxhash64("lid", F.lit(5)), F.col("parts").cast("long")).cast("int")
     nodes = rows.where("node").select(*rows.columns, part.alias("part"))
     asks = rows.where(~F.col("node") | (F.col("parts") > 1)).select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).where(~F.col("node") | (F.col("part") != part)).withColumn("node", F.lit(False))
@@ -317,7 +367,7 @@ def near_pairs(leaders: DataFrame, centres: dict, angle: float, overlap: int, pr
         ends = np.concatenate(([0], np.cumsum(keep.sum(axis=1)))).astype(np.int32)
         return pa.table({"lid": pa.array(ids), "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[graph[keep]]))})
 
-    lists = nodes.groupBy("label", "dim", "c", "part").applyInArrow(build, "lid long, near array<long>")
+    lists = nodes.groupBy(*shard, "part").applyInArrow(build, "lid long, near array<long>")
     united = lists.groupBy("lid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # one list for each shard of a node
     members = nodes.join(united, "lid").unionByName(asks, allowMissingColumns=True)
 
@@ -350,7 +400,7 @@ def near_pairs(leaders: DataFrame, centres: dict, angle: float, overlap: int, pr
             none = {"a": pa.array(ids[a]), "b": pa.array(ids[b]), "theta": pa.array(theta), "ra": pa.array(reach[a]), "rb": pa.array(reach[b]), "na": pa.array(size[a]), "nb": pa.array(size[b])}
         return pa.table(none)
 
-    found = members.groupBy("label", "dim", "c", "part").applyInArrow(look, "a long, b long, theta double, ra double, rb double, na long, nb long")
+    found = members.groupBy(*shard, "part").applyInArrow(look, "a long, b long, theta double, ra double, rb double, na long, nb long")
     return staged(found.dropDuplicates(["a", "b"]))
 
 
@@ -403,7 +453,7 @@ def verify(rows: DataFrame, doubtful: DataFrame, threshold: float) -> tuple[Data
     return found.groupBy("_r").agg(F.sum("n").alias("n")), found.select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, sample: int = SAMPLE, most_centres: int = MOST_CENTRES, target: float = TARGET, most_audited: int = MOST_AUDITED) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, sample: int = SAMPLE, most_centres: int = MOST_CENTRES, target: float = TARGET, most_audited: int = MOST_AUDITED, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """One row for each row of df: key, n_links, component_id, kept."""
     angle = math.acos(threshold)
     rows = staged(df.select(F.col(key).alias("_k"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).withColumn("_r", F.monotonically_increasing_id()).select("_r", "_k", "label", "v"))
@@ -412,8 +462,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     centres = fit_centres(leaders, sample, most_centres)
     most = max((len(c) for c in centres.values()), default=1)
     probes, beam, n = 5, 24, leaders.count()
+    most = max(most, 2 * min(most_centres, math.ceil(n * SUB_CENTRES / shard_nodes)))  # asks go to half as many second centres
     while True:
-        pairs = near_pairs(leaders, centres, angle, 2, probes, beam)
+        pairs = near_pairs(leaders, centres, angle, 2, probes, beam, shard_nodes, most_centres)
         audited = AUDITED
         hit, true = audit(leaders, pairs, angle, audited, n)
         while true < ENOUGH_PAIRS and audited < min(n, most_audited):

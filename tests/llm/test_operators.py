@@ -540,6 +540,26 @@ def test_embeddings(spark):
     assert op7.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("slice_", [20_000, 40])
+def test_large_shards_get_centres_of_their_own(spark, monkeypatch, slice_):
+    monkeypatch.setattr(op7, "SLICE", slice_)
+    monkeypatch.setattr(op7, "HOME", 40)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(150, 16))
+    rows = [(i, (centres[i % 150] + rng.normal(size=16) * 0.25).tolist(), 0 if i % 3 else 1) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    split, real = [], op7.split_large
+    monkeypatch.setattr(op7, "split_large", lambda *a: split.append(real(*a)) or split[-1])
+    got = {r["vec_id"]: r["n_links"] for r in op7.near_duplicates(df, most_centres=6, shard_nodes=64).collect()}
+    assert split[0].where("c > 0").count() and split[0].where("d > 0").count()  # both levels were used
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([g for _, _, g in rows])
+    linked = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    want = linked.sum(axis=1) - 1
+    assert want.sum() > 500 and sum(got.values()) >= 0.98 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
 def test_audit_grows_and_tells(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=24).tolist(), 0) for i in range(1500)]
