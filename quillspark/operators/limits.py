@@ -33,8 +33,8 @@ def decide(seconds: list[float], limit: int, window: float, clears: list[bool] |
     return out, counter
 
 
-def limited(events: DataFrame, key: str, at: str, order: str, limit: int, window: float, clears: str | None = None) -> DataFrame:
-    """events with `allowed`. The fold of a key needs its events in order; they come sorted and in batches, and only the
+def limited(events: DataFrame, key: str, at: str, order: str, limit: int | str, window: float | str, clears: str | None = None) -> DataFrame:
+    """events with `allowed`; limit and window are numbers or columns that hold one for each key. The fold of a key needs its events in order; they come sorted and in batches, and only the
     counter is kept, so a key with very many events takes no more memory than one with few."""
     ordered = events.withColumn("_s", F.unix_micros(F.col(at).cast("timestamp"))).repartition(F.col(key)).sortWithinPartitions(key, "_s", order)
     schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
@@ -45,7 +45,8 @@ def limited(events: DataFrame, key: str, at: str, order: str, limit: int, window
             out = []
             for value, rows in frame.groupby(key, sort=False, dropna=False):
                 same = value == held or pd.isna(value) and pd.isna(held)
-                passed, counter = decide([s / 1e6 for s in rows["_s"]], limit, window, rows[clears].tolist() if clears else None, counter if same else None)
+                most, lasts = (int(rows[x].iloc[0]) if isinstance(x, str) else x for x in (limit, window))
+                passed, counter = decide([s / 1e6 for s in rows["_s"]], most, lasts, rows[clears].tolist() if clears else None, counter if same else None)
                 held = value
                 out += passed
             yield frame.drop(columns="_s").assign(allowed=out)
@@ -53,5 +54,13 @@ def limited(events: DataFrame, key: str, at: str, order: str, limit: int, window
     return ordered.mapInPandas(run, schema)
 
 
+def limited_actions(events: DataFrame, action: str, key: str, at: str, order: str, clears: str | None = None) -> DataFrame:
+    """events with `allowed` by the limits in force, each action and client by itself; an action without a limit is let through."""
+    each = {name: F.create_map(*[F.lit(x) for row in LIMITS for x in (row[0], row[n])]) for n, name in ((1, "_limit"), (2, "_window"))}
+    known = {name: F.coalesce(F.try_element_at(table, F.col(action)), F.lit(2**31 - 1 if name == "_limit" else 1)) for name, table in each.items()}
+    keyed = events.withColumns({**known, "_client": F.to_json(F.struct(F.col(action).alias("a"), F.col(key).alias("k")))})
+    return limited(keyed, "_client", at, order, "_limit", "_window", clears).drop("_limit", "_window", "_client")
+
+
 def limit_table(spark) -> DataFrame:
     return spark.createDataFrame(list(LIMITS), "action string, allowed int, seconds int")

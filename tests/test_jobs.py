@@ -15,6 +15,7 @@ from quillspark.functions import text as X
 from quillspark.operators import duplicates as D
 from quillspark.operators import editorial as E
 from quillspark.operators import glyphs as G
+from quillspark.operators import limits as M
 from quillspark.operators import relations as R
 from quillspark.operators import search as S
 from quillspark.sources import crawl, sinks
@@ -64,6 +65,16 @@ def test_throttled(spark):
     assert [(r["in_a_row"], r["pause"]) for r in out.orderBy("i").collect()] == [(1, 30), (2, 60), (0, 0), (1, 30), (1, 0), (2, 60), (3, 0)]
 
 
+def test_limits_in_force(spark):
+    tries = [(i, "login", "a", T0 + dt.timedelta(seconds=i), False) for i in range(10)] + [(20 + i, "contact", "a", T0 + dt.timedelta(seconds=i), False) for i in range(8)]
+    tries += [(40, "login", "b", T0, False), (41, "login", "a", T0 + dt.timedelta(seconds=900), False), (42, "contact", "a", T0 + dt.timedelta(seconds=900), False), (43, "contact", None, T0, False), (44, None, "a", T0, False), (45, "read", "a", T0, False)]
+    events = spark.createDataFrame(tries, "event_id int, action string, client string, ts timestamp, good boolean")
+    refused = [r[0] for r in rows(M.limited_actions(events, "action", "client", "ts", "event_id").where("not allowed"), "event_id")]
+    assert refused == [8, 9, 26, 27, 42]
+    cleared = events.withColumn("good", F.col("event_id") == 5)  # a login that succeeds ends the counter
+    assert [r[0] for r in rows(M.limited_actions(cleared, "action", "client", "ts", "event_id", "good").where("not allowed"), "event_id")] == [26, 27, 42]
+
+
 def test_post_bodies(spark):
     page = '<h2>My <b>Poem</b></h2><h2>Part one</h2><p>first line</p><p>second</p>\n\n<div class="x sharedaddy">share</div><p>Download now</p><script>x</script><p>third<br>fourth &amp; last</p>'
     posts = spark.createDataFrame([(1, "My Poem", page), (2, None, None), (3, "x", "<h1>X lyrics</h1>")], "id int, title string, html string")
