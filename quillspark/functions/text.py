@@ -98,9 +98,17 @@ def search_document(*fields: Column) -> Column:
     return fold(F.concat_ws(" \n ", *[F.when(f != "", f) for f in fields]))
 
 
+def opening(c: Column, most: int = SIGNATURE_LENGTH) -> Column:
+    """A column whose first `most` characters are those of fold(c). Where the folded opening of a text is long enough the rest is
+    not read; a capital sigma, whose small form depends on what follows, takes the whole text."""
+    head = F.substring(blank(c), 1, 4 * most)
+    short = let(fold(head), lambda o: F.when((F.length(o) >= most + 32) & ~F.contains(head, F.lit("Σ")), o))
+    return F.coalesce(short, fold(c))
+
+
 def signature(*texts: Column) -> Column:
     """The opening of the first text with anything left after folding."""
-    return F.substring(F.coalesce(*[F.nullif(fold(t), F.lit("")) for t in texts], F.lit("")), 1, SIGNATURE_LENGTH)
+    return F.substring(F.coalesce(*[let(opening(t), lambda o: F.when(o != "", o)) for t in texts], F.lit("")), 1, SIGNATURE_LENGTH)
 
 
 def arabic_length(c: Column) -> Column:
@@ -512,10 +520,14 @@ def percent(score: Column) -> Column:
     return F.concat(F.bround(score * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
+def trigram_words(c: Column) -> Column:
+    """The words whose three-letter runs a text is compared by, in lower case."""
+    return F.filter(F.split(F.lower(blank(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def trigrams(c: Column) -> Column:
     """The distinct three-letter runs of a text's words, each word padded with two spaces before and one after."""
-    words = F.filter(F.split(F.lower(blank(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    padded = F.transform(trigram_words(c), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from .checkpoints import cut
@@ -13,28 +18,127 @@ from .checkpoints import cut
 THRESHOLD = 0.55
 
 
+#: Words of 64 bits in a row's two sketches: the first meets those of all rows, the second the rows that are left.
+FIRST_WORDS, WORDS = 6, 16
+#: Rows from which on they are dealt into so many blocks at least, and rows of a block at most.
+SMALL, BLOCKS, BLOCK_ROWS = 4096, 12, 1 << 16
+
+
+def _grams(words: str) -> set[str]:
+    """The trigrams of words joined by spaces, as `text.trigrams` has them."""
+    out: set[str] = set()
+    for word in words.split(" "):
+        p = f"  {word} "
+        out.update([p[i : i + 3] for i in range(len(p) - 2)])
+    return out
+
+
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their number of trigrams, n, and their sketches: a bit is the parity of the trigrams that fall on it, and each falls on one of either sketch."""
+    masks: dict[str, int] = {}
+    for batch in batches:
+        n, sketch = [], []
+        for words in batch.column("words").to_pylist():
+            grams, x = _grams(words), 0
+            for g in grams:
+                if (mask := masks.get(g)) is None:
+                    h = zlib.crc32(g.encode())
+                    mask = masks[g] = 1 << h % (64 * FIRST_WORDS) | 1 << (64 * FIRST_WORDS + h * 2654435761 // 4096 % (64 * (WORDS - FIRST_WORDS)))
+                x ^= mask
+            n.append(len(grams))
+            sketch.append(x.to_bytes(8 * WORDS, "little"))
+            if len(masks) > 1 << 18:
+                masks.clear()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array(sketch, pa.binary())], names=[*batch.schema.names, "n", "sketch"])
+
+
+class _Block:
+    """A block's rows by their number of trigrams, the words of their sketches one after the other."""
+
+    def __init__(self, rows: pa.Table):
+        n = rows["n"].to_numpy()
+        order = np.argsort(n, kind="stable")
+        self.rows, self.n = rows.take(order), n[order]
+        self.words = np.ascontiguousarray(np.frombuffer(b"".join(self.rows["sketch"].to_pylist()), "<u8").reshape(len(n), WORDS).T)
+        self.known: dict[int, set[str]] = {}
+
+    def grams(self, at: int) -> set[str]:
+        if (found := self.known.get(at)) is None:
+            found = self.known[at] = _grams(self.rows["words"][at].as_py())
+        return found
+
+
+def _candidates(a: _Block, b: _Block, threshold: float, high: int = 32, wide: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in both blocks of the pairs that sketches and lengths leave open, each pair once."""
+    share = (1 - threshold) / (1 + threshold)
+    x, c, h = np.empty((high, wide), np.uint64), np.empty((high, wide), np.uint8), np.empty((high, wide), np.uint8)
+    for i in range(0, len(a.n), high):
+        rows = min(high, len(a.n) - i)
+        first = int(np.searchsorted(b.n, a.n[i] * threshold - 1e-6))
+        last = int(np.searchsorted(b.n, a.n[i + rows - 1] / threshold + 1e-6, "right"))
+        for j in range(max(first, i) if a is b else first, last, wide):
+            cols = min(wide, last - j)
+            xs, cs, hs = x[:rows, :cols], c[:rows, :cols], h[:rows, :cols]
+            for w in range(FIRST_WORDS):
+                np.bitwise_xor(a.words[w, i : i + rows, None], b.words[w, None, j : j + cols], out=xs)
+                np.bitwise_count(xs, out=cs if w else hs)
+                if w:
+                    np.add(hs, cs, out=hs)  # past 255 it begins anew, which leaves a pair open
+            most = np.minimum((a.n[i + rows - 1] + b.n[j : j + cols]) * share + 1e-6, 255).astype(np.uint8)
+            p, q = np.nonzero(hs <= most)
+            p, q = p + i, q + j
+            if a is b:
+                p, q = p[p < q], q[p < q]
+            apart = sum(np.bitwise_count(a.words[w, p] ^ b.words[w, q]).astype(np.int32) for w in range(FIRST_WORDS, WORDS))
+            near = apart <= (a.n[p] + b.n[q]) * share + 1e-6
+            if near.any():
+                yield p[near], q[near]
+
+
+def _meet(threshold: float, blocks: int, kind: pa.DataType):
+    """The pairs of two blocks, or of one, that reach the threshold."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        i, j = divmod(key[0].as_py(), blocks)
+        own = rows["block"].to_numpy()
+        a = _Block(rows.filter(pa.array(own == i)))
+        b = a if i == j else _Block(rows.filter(pa.array(own == j)))
+        first, second, scores = [], [], []
+        for p, q in _candidates(a, b, threshold) if len(a.n) and len(b.n) else ():
+            for s, t in zip(p.tolist(), q.tolist(), strict=True):
+                shared = len(a.grams(s) & b.grams(t))
+                score = shared / (int(a.n[s]) + int(b.n[t]) - shared)
+                if score >= threshold:
+                    x, y = a.rows["lead"][s].as_py(), b.rows["lead"][t].as_py()
+                    first.append(min(x, y))
+                    second.append(max(x, y))
+                    scores.append(score)
+        return pa.table({"first": pa.array(first, kind), "second": pa.array(second, kind), "score": pa.array(scores, pa.float64())})
+
+    return run
+
+
 def similar_pairs(works: DataFrame, id_: str = "id", signature: str = "signature", threshold: float = THRESHOLD) -> DataFrame:
     """(first, second, score, matched_on) of works whose signatures' trigram similarity reaches the threshold.
 
-    Prefix filtering keeps the join exact without comparing all: with the trigrams of every work sorted by how rare they
-    are, two works of similarity t share one among the first n - ceil(t * n) + 1 of each. Equal signatures are one row
-    until the end, candidates must pass the length bound, and each is scored by its trigrams. Equal signatures link in
-    a star to the smallest id and to each other through it, so a group of copies yields as many rows as it has copies.
+    Of two works with m and n trigrams, of similarity t or more, at most (m + n) * (1 - t) / (1 + t) are of one alone, and
+    either sketch differs in no more bits than that. Blocks of rows meet in pairs; rows that sketches and lengths leave open are
+    scored by their trigrams, so no pair is lost. Prefixes prune little here, as the trigrams of a language are few: the
+    work grows with the square of the number of different signatures, at some 11 ns a pair. Equal signatures are one row
+    until the end; they link in a star to the smallest id and to each other through it, so a group of copies yields as
+    many rows as it has copies.
     """
-    rows = works.where(X.blank(F.col(signature)) != "").select(F.col(id_).alias("id"), F.col(signature).alias("s"))
-    groups = cut(rows.groupBy("s").agg(F.min("id").alias("lead")).withColumn("grams", F.transform(X.trigrams(F.col("s")), lambda g: F.xxhash64(g))).withColumn("n", F.size("grams")).where("n > 0"))
-    each = groups.select("lead", "n", F.explode("grams").alias("g"))
-    rare = each.groupBy("g").agg(F.count("*").alias("df"))
-    ordered = each.join(rare, "g").groupBy("lead", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
-    prefix = ordered.select("lead", "n", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("pos", "p")).select("lead", "n", (F.col("n") - F.col("pos")).alias("left"), F.col("p.g").alias("g"))
-    a, b = prefix.select(F.col("lead").alias("first"), F.col("n").alias("na"), F.col("left").alias("la"), "g"), prefix.select(F.col("lead").alias("second"), F.col("n").alias("nb"), F.col("left").alias("lb"), "g")
-    # From the first shared trigram on, what is left of either must hold all that the two share.
-    enough = F.least("la", "lb") >= F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
-    pairs = a.join(b, "g").where((F.col("first") < F.col("second")) & enough).select("first", "second").distinct()
-    left, right = groups.select(F.col("lead").alias("first"), F.col("grams").alias("ga")), groups.select(F.col("lead").alias("second"), F.col("grams").alias("gb"))
-    shared = F.size(F.array_intersect("ga", "gb"))
-    score = shared / (F.size("ga") + F.size("gb") - shared)
-    near = pairs.join(left, "first").join(right, "second").select("first", "second", score.alias("score")).where(F.col("score") >= threshold)
+    # Signatures are worked out once: what reads them reads them from there.
+    rows = cut(works.select(F.col(id_).alias("id"), F.col(signature).alias("s"))).where(X.blank(F.col("s")) != "")
+    groups = cut(rows.groupBy("s").agg(F.min("id").alias("lead")).withColumn("words", F.array_join(X.trigram_words(F.col("s")), " ")).where("words <> ''"))
+    n = groups.count()
+    blocks = 1 if n <= SMALL else max(BLOCKS, -(-n // BLOCK_ROWS))
+    kind = groups.schema["lead"].dataType
+    dealt = groups.select("lead", "words", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int").alias("block"))
+    sketched = dealt.mapInArrow(_sketches, f"lead {kind.simpleString()}, words string, block int, n int, sketch binary")
+    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    met = sketched.withColumn("key", F.explode(F.transform(others, lambda o: F.least("block", o).cast("long") * blocks + F.greatest("block", o))))
+    near = met.groupBy("key").applyInArrow(_meet(threshold, blocks, to_arrow_type(kind)), f"first {kind.simpleString()}, second {kind.simpleString()}, score double")
     same = rows.join(groups.select("s", "lead"), "s").where(F.col("id") != F.col("lead")).select(F.col("lead").alias("first"), F.col("id").alias("second"), F.lit(1.0).alias("score"))
     return near.withColumn("matched_on", F.lit("fuzzy")).unionByName(same.withColumn("matched_on", F.lit("opening"))).withColumn("score", F.bround("score", 3))
 
