@@ -16,6 +16,9 @@ its maximal repeats.
    suffixes are sorted by path, and full-depth nodes are runs of equal paths.
 4. Marked places go back to their texts, which lose the covered words.
 
+Of the texts themselves, those that hold a repeated anchor are shuffled, and few others: a broadcast table of 2^25 bits
+leaves the rest where they are, and a join by name settles what it lets through. A fuller table only lets more through.
+
 Texts that are equal count once: all windows of a text with copies are repeats. A passage that a third of all texts
 share sends a leaf for each batch, not for each text. Whole texts are read, nothing is capped. Words are those of
 `[^\\x20\\x09-\\x0D]+`, unchanged.
@@ -34,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, in_arrow, long_id, mix64, row_words, small, staged, table, utf8, word_hashes
+from .common import blocks, dropped, in_arrow, long_id, mix64, row_words, small, staged, table, utf8, word_hashes
 
 WINDOW = 35
 ANCHOR = 12
 #: Suffixes of a group.
 GROUP_ROWS = 200_000
+#: Bits, as a power of two, of the table that says which texts may be wanted: 524,288 rows of 64 bits at most, 21 MB as broadcast.
+FILTER_BITS = 25
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _INVERSES = tuple(pow(b, -1, 2**64) for b in _BASES)
@@ -80,6 +85,13 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("_k", "_t", F.xxhash64("_t").alias("h1"), F.xxhash64(F.lit(1), "_t").alias("h2"))
 
 
+def wanted(rows: DataFrame, leads: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose name h1 may be one of leads: all that are, and a part of the others (their share of set bits)."""
+    word, bit = F.shiftrightunsigned(F.col("h1").bitwiseAND(F.lit(2**bits - 1)), 6), F.expr("shiftleft(1L, cast(h1 & 63 AS int))")
+    words = leads.groupBy(word.alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.withColumn("_w", word).join(F.broadcast(words), "_w").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_w", "_bits")
+
+
 def facts(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """For each row: key, name of the text, words, digest of all its words, and its anchors (one that stands twice, twice)."""
 
@@ -219,10 +231,12 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     each = texts.select("h1", "h2", F.explode("anchors").alias("anchor"))
     repeated = staged(each.groupBy("anchor").agg(F.count("*").alias("often")).where("often > 1"))
     total = repeated.agg(F.sum("often")).first()[0] or 0
-    own = each.distinct().join(repeated, "anchor").groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "often")).alias("anchors"))
-    leads = texts.select("h1", "h2", "copies", "lead").join(own, ["h1", "h2"])
-    bodies = rows.withColumn("lead", F.coalesce("_k", F.lit(-(2**63)).cast(df.schema[key].dataType)))
+    # A text is one row of texts, so its anchors are told apart there, without a shuffle.
+    own = texts.select("h1", "h2", F.explode(F.array_distinct("anchors")).alias("anchor")).join(repeated, "anchor").groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "often")).alias("anchors"))
+    leads = staged(texts.select("h1", "h2", "copies", "lead").join(own, ["h1", "h2"]))
+    bodies = wanted(rows, leads).withColumn("lead", F.coalesce("_k", F.lit(-(2**63)).cast(df.schema[key].dataType)))
     candidates = staged(bodies.join(leads.hint("shuffle_hash"), ["h1", "h2", "lead"]).select("h1", "h2", "copies", "_t", "anchors"))
+    dropped(repeated, leads)
     n_groups = max(1, -(-total * (window - anchor + 1) // GROUP_ROWS))
     leaves = suffixes(candidates, n_groups, window, anchor)
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

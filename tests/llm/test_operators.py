@@ -793,6 +793,42 @@ def test_substrings(spark):
     assert sorted(r["n_removed"] for r in op10.dedup(same).collect()) == [0, 50, 50]
 
 
+def shuffled(spark, act):
+    """Bytes that the stages of act() write for shuffles."""
+    jvm, store = spark._jvm, spark._jsc.sc().statusStore()
+
+    def total():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    act()
+    return sum(v - before.get(k, 0) for k, v in total().items())
+
+
+def test_substrings_leave_single_texts_where_they_are(spark):
+    rng = np.random.default_rng(11)
+    texts = [rng.bytes(16_000).hex(" ", 12) for _ in range(60)]
+    texts[40] += " " + " ".join(texts[7].split()[100:160])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    moved = shuffled(spark, lambda: got.extend(op10.dedup(df).collect()))
+    want = brute_dedup(texts)
+    assert [(r["n_words"], r["n_removed"], bytes(r["kept_sha256"]).hex()) for r in sorted(got)] == want and sum(w[1] for w in want) == 120
+    assert 0 < moved < sum(map(len, texts)) / 3
+
+
+def test_substrings_filter_keeps_all_wanted_texts(spark):
+    rows = spark.range(5_000).select(F.xxhash64("id").alias("h1"), F.lit(0).alias("h2"))
+    for share, bits, most in ((1000, 25, 5), (3, 6, 5_000), (3, 14, 2_300), (5_001, 25, 1)):
+        leads = rows.where(F.pmod("h1", F.lit(share)) == 0)
+        kept = op10.wanted(rows, leads, bits)
+        n = leads.count()
+        assert kept.columns == rows.columns and kept.join(leads, "h1", "left_semi").count() == n <= kept.count() <= max(n, most)
+
+
 # ---- the queries and their SQL ------------------------------------------------------------------------------------
 
 
