@@ -757,6 +757,11 @@ def test_html_of_all_pages(spark):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_html_nodes_share_features():
+    tree = op9.parse("<p>x" * 1000)
+    assert len(tree.features) == 2000 and len({id(f) for f in tree.features}) == 2
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------
 
 
