@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 import corpus_pipeline as P
+from quillspark.llm import common
 from quillspark.llm import op2_sentencepiece as op2
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +63,18 @@ def test_planted(spark, tmp_path):
 @pytest.mark.parametrize("stage", [s for _, s in P.STAGES], ids=[n for n, _ in P.STAGES])
 def test_empty(spark, stage):
     assert stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("step", ["staged", "cut"])
+def test_freed_memory_goes_back(spark, step):
+    """Native memory that the driver's JVM has freed, but for pieces in between, is the system's again after a step."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1])
+    getattr(common, step)(spark.range(1))
+    made = [spark._jvm.java.util.zip.Deflater() for _ in range(2500)]
+    for k, x in enumerate(made):
+        if k % 20:
+            x.end()
+    before = held()
+    getattr(common, step)(spark.range(1))
+    assert before - held() > 40_000
