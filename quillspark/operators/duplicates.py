@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import sequential as Q
 from ..functions import text as X
 from .checkpoints import cut
 
@@ -22,6 +25,10 @@ THRESHOLD = 0.55
 FIRST_WORDS, WORDS = 6, 16
 #: Rows from which on they are dealt into so many blocks at least, and rows of a block at most.
 SMALL, BLOCKS, BLOCK_ROWS = 4096, 12, 1 << 16
+#: Texts and characters of a block of texts that are compared with each other, more or less, and groups of copies.
+BLOCK_TEXTS, BLOCK_CHARS, COPY_GROUPS = 128, 1 << 19, 1024
+#: Characters of a batch of marked texts.
+BATCH_CHARS = 1 << 21
 
 
 def _grams(words: str) -> set[str]:
@@ -143,6 +150,91 @@ def similar_pairs(works: DataFrame, id_: str = "id", signature: str = "signature
     return near.withColumn("matched_on", F.lit("fuzzy")).unionByName(same.withColumn("matched_on", F.lit("opening"))).withColumn("score", F.bround("score", 3))
 
 
+#: What a row of a group is: a text of the first or the second block, a copy, or a link between signatures of either block.
+_FIRST, _SECOND, _COPY, _LINK = range(4)
+
+
+def _mark(kind: pa.DataType):
+    """The marked differences of the texts of two blocks, or of one, whose signatures are linked; and copies as they are."""
+    schema = pa.schema([("first", kind), ("second", kind), ("first_html", pa.string()), ("second_html", pa.string()), ("differences", pa.int32())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        texts: dict = {}
+        blocks: tuple[dict, dict] = {}, {}  # ids by the signature's lead
+        links = []
+        for batch in batches:
+            for what, first, second, text in zip(*(batch.column(c).to_pylist() for c in ("what", "first", "second", "text")), strict=True):
+                if what == _COPY:
+                    shown = html.escape(text)
+                    yield first, second, shown, shown, 0
+                elif what == _LINK:
+                    links.append((first, second))
+                else:
+                    texts[second] = text
+                    blocks[what].setdefault(first, []).append(second)
+        pairs: dict = {}
+        for x, y in links:
+            own, others = blocks[0][x], (blocks[1] or blocks[0])[y]
+            for a, b in itertools.combinations(own, 2) if own is others else itertools.product(own, others):
+                pairs.setdefault(min(a, b), []).append(max(a, b))
+        yield from Q.all_differences(texts, pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in found(batches):
+            rows.append(row)
+            size += len(row[2]) + len(row[3])
+            if size > BATCH_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def marked_differences(works: DataFrame, id_: str = "id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(first, second, first_html, second_html, differences) of all pairs of different texts whose signatures' similarity
+    reaches the threshold, equal signatures among them, and of each further copy of a text with the copy of the smallest id.
+
+    A text stands for its copies. Links are found between signatures, a lead for each, and become pairs of texts where the
+    texts are: blocks of texts meet in pairs. A text is in a block with the smallest lead that its own is linked to, which
+    brings most of a group of near copies together; the large groups are dealt into several blocks.
+    """
+    read = works.select(F.col(id_).alias("id"), X.blank(F.col(text)).alias("text"))
+    rows = cut(read.select("id", X.signature(F.col("text")).alias("s"), F.sha2("text", 256).alias("h"), F.length("text").alias("n"))).where("s <> ''")
+    kind = rows.schema["id"].dataType
+    own = rows.groupBy("s", "h").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    leads = own.groupBy("s").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    near = similar_pairs(rows, "id", "s", threshold).where("matched_on = 'fuzzy'").select("first", "second")
+    links = cut(near.unionByName(leads.where("k > 1").select(F.col("lead").alias("first"), F.col("lead").alias("second"))))
+
+    ends = links.unionByName(links.select(F.col("second").alias("first"), F.col("first").alias("second")))
+    labels = ends.groupBy(F.col("first").alias("lead")).agg(F.least(F.min("second"), F.first("first")).alias("label")).join(leads, "lead")
+    parts = lambda k, n: F.ceil(F.greatest(F.col(k) / BLOCK_TEXTS, F.col(n) / BLOCK_CHARS))
+    subs = labels.groupBy("label").agg(F.sum("k").alias("_k"), F.sum("n").alias("_n")).select("label", parts("_k", "_n").alias("subs"))
+    dealt = labels.join(subs, "label").select("s", "lead", "label", F.pmod(F.xxhash64("lead"), "subs").alias("sub"), parts("k", "n").alias("parts"))
+    block = F.struct("label", "sub", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    placed = cut(own.join(dealt, "s").select("id", "lead", block.alias("block")))
+
+    at = placed.select("lead", "block").distinct()
+    met = links.join(at.select(F.col("lead").alias("first"), F.col("block").alias("b1")), "first").join(at.select(F.col("lead").alias("second"), F.col("block").alias("b2")), "second")
+    turned = F.col("b1") > F.col("b2")
+    turn = lambda a, b, name: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(name)
+    met = cut(met.where("first <> second OR b1 <= b2").select(turn("b1", "b2", "b1"), turn("b2", "b1", "b2"), turn("first", "second", "first"), turn("second", "first", "second")))
+    sides = met.select("b1", "b2", F.lit(_FIRST).alias("what"), F.col("first").alias("lead"), F.col("b1").alias("block"))
+    sides = sides.unionByName(met.select("b1", "b2", F.when(F.col("b1") == F.col("b2"), _FIRST).otherwise(_SECOND).alias("what"), F.col("second").alias("lead"), F.col("b2").alias("block"))).distinct()
+    sent = sides.join(placed, ["lead", "block"]).select("b1", "b2", "what", F.col("lead").alias("first"), "id")
+
+    again = rows.join(own.where("copies > 1").select("s", "h", F.col("id").alias("first")), ["s", "h"]).where(F.col("id") != F.col("first"))
+    bucket = F.struct(F.col("first").alias("label"), F.pmod(F.xxhash64("id"), F.lit(COPY_GROUPS)).alias("sub"), F.lit(-1).cast("long").alias("part"))
+    sent = sent.unionByName(again.select(bucket.alias("b1"), bucket.alias("b2"), F.lit(_COPY).alias("what"), "first", "id"))
+    texts = read.join(sent, "id").select("b1", "b2", "what", "first", F.col("id").alias("second"), "text")
+    asked = texts.unionByName(met.select("b1", "b2", F.lit(_LINK).alias("what"), "first", "second", F.lit(None).cast("string").alias("text")))
+    name = kind.simpleString()
+    return asked.groupBy("b1", "b2").applyInArrow(_mark(to_arrow_type(kind)), f"first {name}, second {name}, first_html string, second_html string, differences int")
+
+
 def record(links: DataFrame, pairs: DataFrame) -> DataFrame:
     """The links after a scan: unseen pairs added as pending, scores of pending ones refreshed, ruled ones left alone."""
     p = pairs.select(F.col("first").alias("pf"), F.col("second").alias("ps"), F.col("score").alias("pscore"), F.col("matched_on").alias("pmatched"))
